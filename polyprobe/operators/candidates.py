@@ -11,62 +11,47 @@ from polyprobe.functions import words as W
 
 
 def candidate_pieces(word: Column, max_len: Column | None = None) -> Column:
-    """Distinct prefixes with and without word-start marker, plus the byte piece."""
+    """Prefixes with and without word-start marker, and the byte piece if any."""
     spelled = W.with_word_start(W.token_prefixes(word, max_len))
-    byte = F.filter(F.array(W.byte_fallback_piece(word)), lambda p: p.isNotNull())
-    return F.array_distinct(F.concat(spelled, byte))
+    return F.concat(spelled, F.array_compact(F.array(W.byte_fallback_piece(word))))
 
 
 def candidate_ids(
     words: DataFrame, vocab: DataFrame, keys: list[str], word: str = "word",
-    first_tokens: DataFrame | None = None,
+    load_tokenizer: Callable[[], Callable[[str], int | None]] | None = None,
 ) -> DataFrame:
     """Sorted distinct ``token_ids`` per key; [] where the vocabulary has none.
 
-    ``keys`` must identify the rows of ``words`` and contain ``word``.
-    ``first_tokens(prefix, token_id)`` adds, for model families that need it,
-    the first token of each tokenised prefix.
+    ``keys`` must identify the rows of ``words`` and contain ``word``.  Model
+    families that need it pass a tokenizer, which adds the first token of
+    every prefix of the word.
     """
     # No piece is longer than this, so longer prefixes cannot be in the vocabulary.
     bounded = words.withColumn("_longest", vocab.agg(F.max(F.length("piece"))).scalar())
-    spelled = bounded.select(*keys, F.explode_outer(candidate_pieces(F.col(word), F.col("_longest"))).alias("piece"))
-    found = spelled.join(vocab, "piece", "left").select(*keys, "token_id")
-    if first_tokens is not None:
-        prefixed = words.select(*keys, F.explode(W.token_prefixes(F.col(word))).alias("prefix"))
-        found = found.unionByName(prefixed.join(first_tokens, "prefix").select(*keys, "token_id"))
-    return found.groupBy(*keys).agg(F.sort_array(F.collect_set("token_id")).alias("token_ids"))
+    # The extra null piece keeps words without candidates; other misses go before grouping.
+    pieces = F.array_append(candidate_pieces(F.col(word), F.col("_longest")), F.lit(None).cast("string"))
+    found = bounded.select(*keys, F.explode(pieces).alias("piece")).join(vocab, "piece", "left").filter(
+        F.col("token_id").isNotNull() | F.col("piece").isNull())
+    ids = found.groupBy(*keys).agg(F.sort_array(F.collect_set("token_id")).alias("token_ids"))
+    if load_tokenizer is None:
+        return ids
+    first = first_token_ids(load_tokenizer)(F.col(word))
+    return ids.withColumn("token_ids", F.sort_array(F.array_union("token_ids", first)))
 
 
-def distinct_prefixes(words: DataFrame, word: str = "word") -> DataFrame:
-    return words.select(F.explode(W.token_prefixes(F.col(word))).alias("prefix")).distinct()
+def first_token_ids(load: Callable[[], Callable[[str], int | None]]) -> Callable[[Column], Column]:
+    """Word to the first tokens of all its prefixes under a model's tokenizer.
 
-
-def tokenize_first(prefixes: DataFrame, load: Callable[[], Callable[[str], int | None]]) -> DataFrame:
-    """(prefix, token_id): first token of each prefix under a model's tokenizer.
-
-    ``load`` runs once per task and returns the encoding function.
+    ``load`` runs once per Python worker and returns the encoding function.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         first = load()
         for batch in batches:
-            out = pd.DataFrame({"prefix": batch["prefix"], "token_id": batch["prefix"].map(first)})
-            yield out.dropna().astype({"token_id": "int32"})
-
-    return prefixes.mapInPandas(run, "prefix string, token_id int")
-
+            yield batch.map(lambda w: sorted({t for t in (first(w[:n + 1]) for n in range(len(w))) if t is not None}))
 
-def longest_piece_first(
-    prefixes: DataFrame, vocab: DataFrame, fold: Callable[[Column], Column] = lambda c: c
-) -> DataFrame:
-    """(prefix, token_id) for tokenizers that fold text and take the longest piece."""
-    bounded = prefixes.withColumn("_longest", vocab.agg(F.max(F.length("piece"))).scalar())
-    starts = bounded.select(
-        "prefix", F.explode(W.token_prefixes(fold(F.col("prefix")), F.col("_longest"))).alias("piece")
-    )
-    return starts.join(vocab, "piece").groupBy("prefix").agg(
-        F.max_by("token_id", F.length("piece")).alias("token_id")
-    )
+    return run
 
 
 def ids_to_pieces(df: DataFrame, vocab: DataFrame, keys: list[str], ids: str = "token_ids") -> DataFrame:
@@ -89,17 +74,18 @@ def with_forced_stem(answer_words: DataFrame) -> DataFrame:
         "rest", F.col("word").substr(F.length("stem") + 1, F.length("word")))
 
 
-def class_table(answer_words: DataFrame, vocab: DataFrame, families: dict[str, DataFrame | None]) -> DataFrame:
+def class_table(answer_words: DataFrame, vocab: DataFrame, families: dict[str, Callable | None]) -> DataFrame:
     """One row per (family, task, label_mode, lang) with its classes.
 
     ``classes`` is sorted by class name and holds class, word, gold_word and
-    token_ids.  ``families`` maps a model family to its first-token table.
+    token_ids.  ``families`` maps a model family to the loader of its tokenizer,
+    or to None where spelling alone decides.
     """
     keys = ["task", "label_mode", "lang", "stem", "class", "word", "gold_word", "rest"]
     stemmed = with_forced_stem(answer_words)
     per_family = [
-        candidate_ids(stemmed, vocab, keys, "rest", first).withColumn("family", F.lit(family))
-        for family, first in families.items()
+        candidate_ids(stemmed, vocab, keys, "rest", load).withColumn("family", F.lit(family))
+        for family, load in families.items()
     ]
     every = per_family[0]
     for more in per_family[1:]:

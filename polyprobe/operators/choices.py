@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from polyprobe.functions import vectors as V
 from polyprobe.functions.draws import draw_int
 
 
@@ -14,20 +15,24 @@ def choose(df: DataFrame, seed: int, id_cols: list[str], classes: str = "classes
     classes, keyed by seed and item, so the draw survives any repartitioning.
     A missing or NaN mass gives no prediction.
     """
-    masses = F.transform(classes, lambda c: c["mass"])
-    invalid = F.coalesce(
-        F.exists(masses, lambda m: m.isNull() | F.isnan(m)) | (F.size(classes) == 0), F.lit(True))
-    leaders = F.filter(classes, lambda c: c["mass"] == F.array_max(masses))
-    picked = df.withColumn("is_invalid", invalid).withColumn("_leaders", F.when(~invalid, leaders))
-    draw = draw_int(seed, *[F.col(c) for c in id_cols]) % F.nullif(F.size("_leaders"), F.lit(0))
-    winner = F.get(F.col("_leaders"), draw.cast("int"))
+    def leaders(c: Column) -> Column:
+        return V.let(F.transform(c, lambda x: x["mass"]), lambda masses: F.when(
+            (F.size(masses) > 0) & ~F.exists(masses, lambda m: m.isNull() | F.isnan(m)),
+            V.let(F.array_max(masses), lambda top: F.filter(c, lambda x: x["mass"] == top))))
+
+    draw = draw_int(seed, *[F.col(c) for c in id_cols])
+    # (winner, number of leaders), both null without a valid set of masses.
+    verdict = V.let(leaders(F.col(classes)), lambda tied: F.struct(
+        F.get(tied, (draw % F.nullif(F.size(tied), F.lit(0))).cast("int")).alias("winner"),
+        F.when(tied.isNotNull(), F.size(tied)).alias("n")))
     return (
-        picked.withColumn("_winner", F.when(~F.col("is_invalid"), winner))
-        .withColumn("is_tie", F.coalesce(F.size("_leaders") > 1, F.lit(False)) & ~F.col("is_invalid"))
-        .withColumn("pred_class", F.col("_winner.class"))
-        .withColumn("pred_word", F.col("_winner.word"))
-        .withColumn("pred_gold_word", F.col("_winner.gold_word"))
-        .drop("_leaders", "_winner")
+        df.withColumn("_verdict", verdict)
+        .withColumn("is_invalid", F.col("_verdict.n").isNull())
+        .withColumn("is_tie", F.coalesce(F.col("_verdict.n") > 1, F.lit(False)))
+        .withColumn("pred_class", F.col("_verdict.winner.class"))
+        .withColumn("pred_word", F.col("_verdict.winner.word"))
+        .withColumn("pred_gold_word", F.col("_verdict.winner.gold_word"))
+        .drop("_verdict")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from polyprobe.operators.candidates import candidate_ids
@@ -11,14 +13,15 @@ MASSES = ("latent_mass", "out_mass", "any_latent_mass", "any_out_mass")
 _IDS = ("latent_ids", "out_ids", "any_latent_ids", "any_out_ids")
 
 
-def lens_sets(answer_words: DataFrame, vocab: DataFrame, first_tokens: DataFrame | None = None) -> DataFrame:
+def lens_sets(answer_words: DataFrame, vocab: DataFrame, load_tokenizer: Callable | None = None) -> DataFrame:
     """Id sets per (task, lang, word) of the native label mode.
 
     ``out`` is the word itself, ``latent`` the English word of the same class,
     ``any_*`` the union over all classes of the language or of English.
     """
     native = answer_words.filter(F.col("label_mode") == "native").select("task", "lang", "class", "word")
-    own = candidate_ids(native, vocab, native.columns, "word", first_tokens).withColumnRenamed("token_ids", "out_ids")
+    own = candidate_ids(native, vocab, native.columns, "word", load_tokenizer).withColumnRenamed(
+        "token_ids", "out_ids")
     union = F.sort_array(F.array_distinct(F.flatten(F.collect_list("out_ids"))))
     any_out = own.groupBy("task", "lang").agg(union.alias("any_out_ids"))
     english = own.filter(F.col("lang") == "en").select(

@@ -16,17 +16,14 @@ def top_pieces(df: DataFrame, vocab: DataFrame, logits: str = "logits", k: int =
     Ranking happens inside the row; only k entries per row are exploded.
     """
     keys = [c for c in df.columns if c != logits]
-    ordered = F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("o"), i.alias("id"), x.alias("x"))))
-    weights = F.transform(logits, lambda x: F.exp(x - F.col("_max")))
-    ranked = (
-        df.withColumn("_max", F.array_max(logits)).withColumn("_z", V.total(weights))
-        .select(*keys, "_max", "_z", F.posexplode(F.slice(ordered, 1, k)).alias("_pos", "_t"))
-    )
-    prob = F.exp(F.col("_t.x") - F.col("_max")) / F.col("_z")
-    return ranked.select(
-        *keys, (F.col("_pos") + 1).alias("rank"), F.col("_t.id").alias("token_id"),
-        (prob * 100).cast("int").alias("percent"),
-    ).join(vocab, "token_id")
+
+    def ranked(x: Column, peak: Column, w: Column, z: Column) -> Column:
+        by_score = F.array_sort(F.transform(x, lambda v, i: F.struct((-v).alias("o"), i.alias("id"))))
+        return F.transform(F.slice(by_score, 1, k), lambda t: F.struct(
+            t["id"].alias("token_id"), (F.get(w, t["id"]) / z * 100).cast("int").alias("percent")))
+
+    top = df.select(*keys, F.posexplode(V.softmax_parts(F.col(logits), ranked)).alias("_pos", "_t"))
+    return top.select(*keys, (F.col("_pos") + 1).alias("rank"), "_t.*").join(vocab, "token_id")
 
 
 def sample_token(logits: Column, temperature: float, *seed: Column | str | int) -> Column:

@@ -18,11 +18,9 @@ ARROW_FROM_WIDTH = 2048
 SUMMARY = "masses array<double>, entropy double, argmax_id int"
 
 
-def softmax(df: DataFrame, logits: str = "logits", out: str = "probs") -> DataFrame:
-    """Max-shifted softmax of an array column."""
-    return _with_weights(df, logits).withColumn(
-        out, F.transform("_w", lambda w: w / F.col("_z"))
-    ).drop("_max", "_w", "_z")
+def softmax(logits: Column) -> Column:
+    """Max-shifted softmax of an array."""
+    return V.softmax_parts(logits, lambda x, peak, w, z: F.transform(w, lambda v: v / z))
 
 
 def score_summary(
@@ -39,25 +37,13 @@ def score_summary(
         backend = "arrow" if width is not None and width >= ARROW_FROM_WIDTH else "jvm"
     if backend == "arrow":
         return df.withColumn(out, F.pandas_udf(_numpy_summary, SUMMARY)(F.col(logits), id_sets))
-    w, z = F.col("_w"), F.col("_z")
-    weighted = df.withColumn("_sets", id_sets)
-    weighted = _with_weights(weighted, logits)
-    surprise = F.zip_with(logits, w, lambda x, p: F.when(p == 0, 0.0).otherwise(p * (x - F.col("_max"))))
-    masses = F.transform("_sets", lambda ids: F.aggregate(
-        ids, F.lit(0.0), lambda acc, i: acc + F.get(w, i)) / z)
-    return weighted.withColumn(out, F.struct(
-        masses.alias("masses"),
-        ((F.ln(z) - V.total(surprise) / z) / F.lit(V.LN2)).alias("entropy"),
-        V.argmax_index(F.col(logits)).alias("argmax_id"),
-    )).drop("_max", "_w", "_z", "_sets")
-
-
-def _with_weights(df: DataFrame, logits: str) -> DataFrame:
-    return (
-        df.withColumn("_max", F.array_max(logits))
-        .withColumn("_w", F.transform(logits, lambda x: F.exp(x - F.col("_max"))))
-        .withColumn("_z", V.total(F.col("_w")))
-    )
+    return df.withColumn(out, V.softmax_parts(F.col(logits), lambda x, peak, w, z: F.struct(
+        F.transform(id_sets, lambda ids: F.aggregate(
+            ids, F.lit(0.0), lambda acc, i: acc + F.get(w, i)) / z).alias("masses"),
+        ((F.ln(z) - V.total(F.zip_with(
+            x, w, lambda v, p: F.when(p == 0, 0.0).otherwise(p * (v - peak)))) / z) / F.lit(V.LN2)).alias("entropy"),
+        V.argmax_index(x).alias("argmax_id"),
+    )))
 
 
 def _numpy_summary(logits: pd.Series, id_sets: pd.Series) -> pd.DataFrame:
@@ -81,8 +67,8 @@ def with_class_masses(
     """Replace ``logits`` and ``classes`` by classes carrying their mass."""
     sets = F.transform("classes", lambda c: c["token_ids"])
     summed = score_summary(df, sets, logits, "_summary", width, backend)
-    classes = F.transform("classes", lambda c, i: F.struct(
+    classes = V.let(F.col("_summary.masses"), lambda masses: F.transform("classes", lambda c, i: F.struct(
         c["class"].alias("class"), c["word"].alias("word"), c["gold_word"].alias("gold_word"),
-        F.get(F.col("_summary.masses"), i).alias("mass"),
-    ))
+        F.get(masses, i).alias("mass"),
+    )))
     return summed.withColumn("classes", classes).drop("_summary", logits)

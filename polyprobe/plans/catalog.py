@@ -152,24 +152,10 @@ def candidate_ids(spark, sf_dir):
     return ids.select("lang", "word", listed(F.col("token_ids").cast("array<string>"), ",").alias("token_ids"))
 
 
-def load_folding_tokenizer():
-    """First token of a text for a tokenizer that folds it and takes the longest piece."""
-    ids = {p: i for i, p in enumerate(src.PIECES)}
-    longest = max(map(len, ids))
-    table = str.maketrans(src.FOLD_FROM, src.FOLD_TO)
-
-    def first(text: str) -> int | None:
-        folded = text.lower().translate(table)
-        return next((ids[folded[:n]] for n in range(min(longest, len(folded)), 0, -1) if folded[:n] in ids), None)
-
-    return first
-
-
 @query
 def candidate_ids_family(spark, sf_dir):
-    words = src.corpus_words(spark, sf_dir)
-    first = cand.tokenize_first(cand.distinct_prefixes(words), load_folding_tokenizer)
-    ids = cand.candidate_ids(words, src.vocab(spark), ["lang", "word"], first_tokens=first)
+    ids = cand.candidate_ids(
+        src.corpus_words(spark, sf_dir), src.vocab(spark), ["lang", "word"], load_tokenizer=src.load_folding_tokenizer)
     return ids.select("lang", "word", listed(F.col("token_ids").cast("array<string>"), ",").alias("token_ids"))
 
 
@@ -275,8 +261,9 @@ def gold_to_latent(spark, sf_dir):
 @query
 def softmax_last(spark, sf_dir):
     items = src.labelled(spark, sf_dir).select("doc_id", "lang", "item_no")
-    probs = scoring.softmax(src.scores(spark, sf_dir, items, [src.LAST_LAYER]))
-    return probs.select("run_id", "lang", "item_no", F.posexplode("probs").alias("token_id", "prob")).withColumn(
+    scored = src.scores(spark, sf_dir, items, [src.LAST_LAYER])
+    probs = F.posexplode(scoring.softmax(F.col("logits"))).alias("token_id", "prob")
+    return scored.select("run_id", "lang", "item_no", probs).withColumn(
         "prob", r6("prob"))
 
 

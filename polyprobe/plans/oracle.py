@@ -93,7 +93,7 @@ cand AS (
   SELECT 'base' family, * FROM cand_base
   UNION SELECT 'extra' family, * FROM cand_base UNION SELECT 'extra' family, * FROM cand_extra),
 lens_cand AS (
-  SELECT f.family, c.* FROM (
+  SELECT DISTINCT f.family, c.lang, c.class, c.word, c.token_id FROM (
     SELECT 'base' kind, * FROM ({plain_ids("native_words", 'lang, class, word', 'word')}) a
     UNION ALL SELECT 'tok' kind, * FROM ({tokenized_ids("native_words", 'lang, class, word', 'word')}) b) c
   JOIN (VALUES ('base', 'base'), ('extra', 'base'), ('extra', 'tok')) f(family, kind) USING (kind))
@@ -196,7 +196,7 @@ lens_overlap AS (
 usable AS (
   SELECT o.family, o.lang, o.class, any_value(o.word) word, any_value(e.word) latent_word,
          string_agg(o.token_id::varchar, ',' ORDER BY o.token_id) ids
-  FROM (SELECT DISTINCT * FROM lens_cand) o JOIN native_words e ON e.lang = 'en' AND e.class = o.class
+  FROM lens_cand o JOIN native_words e ON e.lang = 'en' AND e.class = o.class
   WHERE o.lang = 'en' OR NOT EXISTS (
     SELECT 1 FROM lens_overlap x WHERE x.family = o.family AND x.lang = o.lang AND x.class = o.class)
   GROUP BY o.family, o.lang, o.class),

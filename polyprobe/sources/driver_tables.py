@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from polyprobe import locales
 from polyprobe.functions import vectors as V
-from polyprobe.operators.candidates import class_table, distinct_prefixes, longest_piece_first, with_forced_stem
+from polyprobe.operators.candidates import class_table
 from polyprobe.operators.lens import lens_sets
 from polyprobe.operators.positions import with_item_no
 from polyprobe.sources import dimensions as dim
@@ -44,10 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
-
-
 def relabel(lang: Column, mapping: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), lang)
 
@@ -58,35 +54,39 @@ def vocab(spark: SparkSession) -> DataFrame:
     return dim.vocab_table(spark, PIECES)
 
 
-def first_tokens(spark: SparkSession, words: DataFrame, word: str) -> DataFrame:
-    return longest_piece_first(distinct_prefixes(words, word), vocab(spark), fold)
+def load_folding_tokenizer():
+    """First token of a text for a tokenizer that folds it and takes the longest piece."""
+    ids = {p: i for i, p in enumerate(PIECES)}
+    longest = max(map(len, ids))
+    table = str.maketrans(FOLD_FROM, FOLD_TO)
 
+    def first(text: str) -> int | None:
+        folded = text.lower().translate(table)
+        return next((ids[folded[:n]] for n in range(min(longest, len(folded)), 0, -1) if folded[:n] in ids), None)
 
-FAMILIES = ("base", "extra")
+    return first
 
 
-def _families(spark: SparkSession, words: DataFrame, word: str) -> dict[str, DataFrame | None]:
-    return {f: first_tokens(spark, words, word) if f == "extra" else None for f in FAMILIES}
+FAMILIES = {"base": None, "extra": load_folding_tokenizer}
 
 
-def classes(spark: SparkSession, task_modes, families=FAMILIES) -> DataFrame:
+def classes(spark: SparkSession, task_modes, families=tuple(FAMILIES)) -> DataFrame:
     """Class table for some tasks and label modes; locale packs bound its size."""
     def build() -> DataFrame:
-        words = dim.answer_words(spark)
-        return class_table(words, vocab(spark), _families(spark, with_forced_stem(words), "rest"))
+        return class_table(dim.answer_words(spark), vocab(spark), FAMILIES)
 
     wanted = [f"{task}/{mode}" for task, mode in task_modes]
     return dim.localize(spark, "classes", build).filter(
         F.concat_ws("/", "task", "label_mode").isin(wanted) & F.col("family").isin(list(families)))
 
 
-def sets(spark: SparkSession, families=FAMILIES) -> DataFrame:
+def sets(spark: SparkSession, families=tuple(FAMILIES)) -> DataFrame:
     """Lens id sets per family and sentiment word."""
     def build() -> DataFrame:
         words = dim.answer_words(spark, [("sentiment", "native")])
         parts = [
-            lens_sets(words, vocab(spark), first).withColumn("family", F.lit(family))
-            for family, first in _families(spark, words, "word").items()
+            lens_sets(words, vocab(spark), load).withColumn("family", F.lit(family))
+            for family, load in FAMILIES.items()
         ]
         every = parts[0]
         for more in parts[1:]:
