@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKET_WIDTH = 100_000
+# Ids share a range when they agree above this many low bits.
+RANGE_BITS = 17
 
 
 def with_item_no(
-    df: DataFrame, group: list[str], order: str, out: str = "item_no", bucket_width: int = BUCKET_WIDTH
+    df: DataFrame, group: list[str], order: str, out: str = "item_no", range_bits: int = RANGE_BITS
 ) -> DataFrame:
     """Zero-based rank of an integer, unique ``order`` column within ``group``.
 
-    Ids are cut into ranges of ``bucket_width``; ranking runs inside a range,
-    so no task holds more than that many rows, and the ranks are shifted by
-    the running count of the earlier ranges.
+    Ids are cut into ranges of 2**range_bits; ranking runs inside a range, so
+    no window holds more rows than that however large the group, and the ranks
+    are shifted by the running count of the earlier ranges.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / bucket_width))
+    ranged = df.withColumn("_range", F.shiftright(F.col(order).cast("bigint"), range_bits))
     keys = [*group, "_range"]
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(

@@ -192,7 +192,7 @@ def candidate_overlap(spark, sf_dir):
 # ---- outputs and matching ---------------------------------------------------
 
 def _native_outputs(spark, sf_dir, run_ids=("m1",)):
-    return ev.with_outputs(spark, sf_dir, ev.predictions(spark, sf_dir, "sentiment", ["native"], run_ids))
+    return ev.with_outputs(spark, sf_dir, ev.predictions(spark, sf_dir, [("sentiment", "native")], run_ids))
 
 
 @query
@@ -228,22 +228,19 @@ def extract_dictionary(spark, sf_dir):
 
 @query
 def match_native(spark, sf_dir):
-    return ev.predictions(spark, sf_dir, "sentiment", ["native"]).select(
+    return ev.predictions(spark, sf_dir, [("sentiment", "native")]).select(
         "run_id", "lang", "item_no", "pred_word", "answer", "correct")
 
 
 @query
 def match_mapped(spark, sf_dir):
-    nli = ev.predictions(spark, sf_dir, "nli", ["english"])
-    pair = ev.predictions(spark, sf_dir, "pair", ["english"])
-    cols = ["run_id", "task", "lang", "item_no", "pred_word", "answer", "correct"]
-    return ev.predictions(spark, sf_dir, "sentiment", ["english"]).select(cols).unionByName(
-        nli.select(cols)).unionByName(pair.select(cols))
+    return ev.predictions(spark, sf_dir, [(task, "english") for task in ev.TASKS]).select(
+        "run_id", "task", "lang", "item_no", "pred_word", "answer", "correct")
 
 
 @query
 def match_unrelated(spark, sf_dir):
-    return ev.predictions(spark, sf_dir, "sentiment", ["unrelated"]).select(
+    return ev.predictions(spark, sf_dir, [("sentiment", "unrelated")]).select(
         "run_id", "lang", "item_no", "pred_word", "answer", "correct")
 
 
@@ -269,21 +266,21 @@ def softmax_last(spark, sf_dir):
 
 @query
 def class_mass(spark, sf_dir):
-    return ev.massed(spark, sf_dir, "sentiment", ["native"]).select(
+    return ev.massed(spark, sf_dir, [("sentiment", "native")]).select(
         "run_id", "lang", "item_no", F.inline("classes")).select(
         "run_id", "lang", "item_no", "class", r6("mass").alias("mass"))
 
 
 @query
 def choose_two_way(spark, sf_dir):
-    return ev.predictions(spark, sf_dir, "sentiment", ["native"]).select(
+    return ev.predictions(spark, sf_dir, [("sentiment", "native")]).select(
         "run_id", "lang", "item_no", r6(choices.class_mass("positive")).alias("positive_mass"),
         r6(choices.class_mass("negative")).alias("negative_mass"), "pred_class", "is_tie")
 
 
 @query
 def choose_three_way(spark, sf_dir):
-    return ev.predictions(spark, sf_dir, "nli", ["english"]).select(
+    return ev.predictions(spark, sf_dir, [("nli", "english")]).select(
         "run_id", "lang", "item_no", r6(choices.class_mass("entailment")).alias("entailment_mass"),
         r6(choices.class_mass("neutral")).alias("neutral_mass"),
         r6(choices.class_mass("contradiction")).alias("contradiction_mass"), "pred_class", "is_tie")
@@ -293,20 +290,20 @@ def choose_three_way(spark, sf_dir):
 def tie_break(spark, sf_dir):
     """Masses to one decimal tie often."""
     coarse = F.transform("classes", lambda c: c.withField("mass", F.round(c["mass"], 1)))
-    rounded = ev.massed(spark, sf_dir, "nli", ["english"]).withColumn("classes", coarse)
+    rounded = ev.massed(spark, sf_dir, [("nli", "english")]).withColumn("classes", coarse)
     return choices.choose(rounded, TIE_SEED, ev.ITEM).select("run_id", "lang", "item_no", "is_tie", "pred_class")
 
 
 @query
 def accuracy_by_lang(spark, sf_dir):
-    predicted = ev.predictions(spark, sf_dir, "sentiment", ["native"])
+    predicted = ev.predictions(spark, sf_dir, [("sentiment", "native")])
     return ev.accuracy(predicted, dim.locale_table(spark)).select(
         "run_id", "lang", "n_items", "n_shots", "n_correct", r6("accuracy").alias("accuracy"))
 
 
 @query
 def accuracy_grid(spark, sf_dir):
-    return ev.accuracy(ev.grid_predictions(spark, sf_dir), dim.locale_table(spark)).select(
+    return ev.accuracy(ev.predictions(spark, sf_dir), dim.locale_table(spark)).select(
         "run_id", "task", "label_mode", "lang", "n_items", "n_shots", "n_correct", r6("accuracy").alias("accuracy"))
 
 

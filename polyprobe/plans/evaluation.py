@@ -15,14 +15,32 @@ SEED = 42
 ITEM = ["run_id", "task", "label_mode", "lang", "item_no"]
 GRID = (("sentiment", "native"), ("sentiment", "english"), ("sentiment", "unrelated"),
         ("nli", "english"), ("pair", "english"))
-KEYS_OF = {"sentiment": src.sentiment_keys, "nli": src.nli_keys, "pair": src.pair_keys}
+TASKS = ("sentiment", "nli", "pair")
 
 
-def massed(spark: SparkSession, sf_dir: str, task: str, label_modes, run_ids=("m1", "m2")) -> DataFrame:
-    """Items of one task with the probability mass of every class, per run and label mode."""
+def item_keys(spark: SparkSession, sf_dir: str, tasks) -> DataFrame:
+    """Keys and gold words of the items of several tasks, without texts."""
+    cols = ["task", "lang", "item_no", "doc_id", "answer"]
+    single = [t for t in src.CLASS_OF if t in tasks]
+    parts = [src.labelled_keys(spark, sf_dir, single).select(*cols, "quality", "toxic")] if single else []
+    if "pair" in tasks:
+        parts.append(src.pair_keys(spark, sf_dir).select(*cols, "quality", F.lit(None).cast("int").alias("toxic")))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def massed(spark: SparkSession, sf_dir: str, grid, run_ids=("m1", "m2")) -> DataFrame:
+    """Probability mass of every class, per run, item and label mode.
+
+    ``grid`` lists (task, label mode) pairs.  All tasks meet the stored scores
+    in one join and the class table in another.
+    """
     families = sorted({r.family for r in src.RUNS if r.run_id in run_ids})
-    classes = src.classes(spark, [(task, mode) for mode in label_modes], families)
-    scored = src.scores(spark, sf_dir, KEYS_OF[task](spark, sf_dir), [src.LAST_LAYER], run_ids)
+    keys = item_keys(spark, sf_dir, {task for task, _ in grid})
+    scored = src.scores(spark, sf_dir, keys, [src.LAST_LAYER], run_ids)
+    classes = src.classes(spark, grid, families)
     return with_class_masses(scored.join(classes, ["family", "task", "lang"]), width=src.WIDTH)
 
 
@@ -32,21 +50,8 @@ def predict(with_masses: DataFrame, seed: int = SEED) -> DataFrame:
         F.col("label_mode"), F.col("pred_word"), F.col("pred_gold_word"), F.col("answer")))
 
 
-def predictions(spark: SparkSession, sf_dir: str, task: str, label_modes, run_ids=("m1", "m2")) -> DataFrame:
-    return predict(massed(spark, sf_dir, task, label_modes, run_ids))
-
-
-def grid_predictions(spark: SparkSession, sf_dir: str, grid=GRID) -> DataFrame:
-    """Every run, task, label mode and language in one job."""
-    parts = [
-        predictions(spark, sf_dir, task, [m for t, m in grid if t == task]).select(
-            *ITEM, "correct", "is_tie", "is_invalid")
-        for task in dict.fromkeys(t for t, _ in grid)
-    ]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    return every
+def predictions(spark: SparkSession, sf_dir: str, grid=GRID, run_ids=("m1", "m2")) -> DataFrame:
+    return predict(massed(spark, sf_dir, grid, run_ids))
 
 
 def accuracy(predicted: DataFrame, locales: DataFrame) -> DataFrame:

@@ -125,21 +125,28 @@ def with_text(spark: SparkSession, sf_dir: str, keys: DataFrame, key: str = "doc
     return keys.join(docs, key)
 
 
+CLASS_OF = {"sentiment": sentiment_class, "nli": nli_class}
+
+
+def labelled_keys(spark: SparkSession, sf_dir: str, tasks) -> DataFrame:
+    """Keys and gold words of the tasks asked about single labelled documents."""
+    asked = F.array(*[F.struct(F.lit(t).alias("task"), CLASS_OF[t]().alias("gold_class")) for t in tasks])
+    gold = dim.answer_words(spark, [(t, "native") for t in tasks]).select(
+        "task", "lang", F.col("class").alias("gold_class"), F.col("gold_word").alias("answer"))
+    return labelled(spark, sf_dir).select("*", F.inline(asked)).join(gold, ["task", "lang", "gold_class"])
+
+
 def sentiment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_answer(spark, labelled(spark, sf_dir), "sentiment", sentiment_class())
+    return labelled_keys(spark, sf_dir, ["sentiment"])
 
 
 def eval_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_text(spark, sf_dir, sentiment_keys(spark, sf_dir), out="input")
 
 
-def nli_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_answer(spark, labelled(spark, sf_dir), "nli", nli_class())
-
-
 def eval_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two halves of a text are premise and hypothesis."""
-    items = with_text(spark, sf_dir, nli_keys(spark, sf_dir))
+    items = with_text(spark, sf_dir, labelled_keys(spark, sf_dir, ["nli"]))
     half = F.ceil(F.length("text") / 2).cast("int")
     return items.withColumn("premise", F.col("text").substr(F.lit(1), half)).withColumn(
         "hypothesis", F.col("text").substr(half + 1, F.length("text"))).drop("text")
