@@ -2,7 +2,8 @@
 
 ``load`` is called once per Python worker and returns the model as a function
 on a list of prompts; Arrow carries the batches.  A score column is expensive:
-write it to a table before using it more than once.
+write it to a table before using it more than once.  ``layout.spread`` evens out
+the rows first, which pays whenever a call costs more than moving its prompt.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from polyprobe.session import scratch_path
-
 Model = Callable[[Sequence[str]], np.ndarray]
 _FLAT = T.ArrayType(T.DoubleType())
 
@@ -77,10 +76,3 @@ def component_logits(
     cut = _cut(flat, "_flat", width, "logits")
     name = F.get(F.lit(list(components)), F.floor(F.col("part") / n_layers).cast("int"))
     return cut.withColumn("component", name).withColumn("layer", F.col("part") % n_layers).drop("part")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and continue from the table."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

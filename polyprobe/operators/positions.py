@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 # Ids share a range when they agree above this many low bits.
-RANGE_BITS = 17
+RANGE_BITS = 10
 
 
 def with_item_no(

@@ -10,7 +10,7 @@ from polyprobe import locales
 from polyprobe.functions import text as X, words as W
 from polyprobe.functions.draws import draw_int
 from polyprobe.operators import (
-    batch, candidates as cand, choices, lens, matching, positions, prompts, readout, representation as rep,
+    batch, candidates as cand, choices, layout, lens, matching, positions, prompts, readout, representation as rep,
     sampling, scoring, stats,
 )
 from polyprobe.plans import evaluation as ev, lens as lp, representation as rp
@@ -359,14 +359,14 @@ def ci_gaussian(spark, sf_dir):
 
 @query
 def ci_quantile(spark, sf_dir):
-    ci = stats.ci_quantile(lp.all_item_entropy(spark, sf_dir), lp.LAYER_KEYS, "entropy")
+    ci = stats.ci_quantile(layout.materialize(lp.all_item_entropy(spark, sf_dir), "entropy"), lp.LAYER_KEYS, "entropy")
     return ci.select(*lp.LAYER_KEYS, *[r6(c).alias(c) for c in ("y", "y_lower", "y_upper")])
 
 
 @query
 def ci_bootstrap(spark, sf_dir):
     ci = stats.ci_bootstrap(
-        lp.all_item_entropy(spark, sf_dir), ["run_id", "lang"], "layer", "entropy",
+        layout.materialize(lp.all_item_entropy(spark, sf_dir), "entropy"), ["run_id", "lang"], "layer", "entropy",
         resamples=BOOTSTRAP_RESAMPLES, seed=BOOTSTRAP_SEED)
     return ci.select(*lp.LAYER_KEYS, *[r6(c).alias(c) for c in ("y", "y_lower", "y_upper")])
 
@@ -498,7 +498,9 @@ def head_per_lang(spark, sf_dir):
 # ---- batch model jobs -------------------------------------------------------
 
 def _asked(spark, sf_dir):
-    return prompt_single(spark, sf_dir).filter(F.col("label_mode") == "native").select("lang", "item_no", "prompt")
+    asked = prompts.with_prompt(
+        src.eval_single(spark, sf_dir), dim.locale_table(spark, [("sentiment", "native")]), "sentiment")
+    return layout.spread(asked.select("lang", "item_no", "prompt"), ["lang", "item_no"])
 
 
 @query
@@ -534,8 +536,9 @@ def batch_accuracy(spark, sf_dir):
     """The whole evaluation with scores computed on the spot and stored once."""
     items = src.eval_single(spark, sf_dir).drop("quality", "toxic")
     packs = dim.locale_table(spark, [("sentiment", "native")])
-    asked = prompts.with_prompt(items, packs, "sentiment").select("task", "label_mode", "lang", "item_no", "answer", "prompt")
-    stored = batch.materialize(batch.score_prompts(asked, src.load_scorer).drop("prompt"), "scores")
+    asked = layout.spread(prompts.with_prompt(items, packs, "sentiment").select(
+        "task", "label_mode", "lang", "item_no", "answer", "prompt"), ["lang", "item_no"])
+    stored = layout.materialize(batch.score_prompts(asked, src.load_scorer).drop("prompt"), "scores")
     scored = stored.withColumn("run_id", F.lit("letters")).join(
         src.classes(spark, [("sentiment", "native")], ["base"]), ["task", "label_mode", "lang"])
     predicted = ev.predict(scoring.with_class_masses(scored, width=src.WIDTH))

@@ -18,6 +18,8 @@ def build_session(app_name: str = "polyprobe", master: str | None = None, **conf
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Collecting small id sets for many words outgrows the default of 128 groups.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from polyprobe import locales
 from polyprobe.functions import vectors as V
 from polyprobe.operators.candidates import class_table
+from polyprobe.operators.layout import spread
 from polyprobe.operators.lens import lens_sets
 from polyprobe.operators.positions import with_item_no
 from polyprobe.sources import dimensions as dim
@@ -190,7 +191,7 @@ def latents(spark: SparkSession, sf_dir: str, items: DataFrame, layers: list[int
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     n = vectors.agg(F.count(F.lit(1))).scalar()
     layer = F.explode(F.lit(list(range(N_LAYERS)) if layers is None else layers))
-    slots = items.withColumn("layer", layer).withColumn(
+    slots = spread(items, ["doc_id"]).withColumn("layer", layer).withColumn(
         "vec_id", (F.col("doc_id") * N_LAYERS + F.col("layer")) % n)
     return slots.join(vectors, "vec_id").drop("vec_id")
 
@@ -253,9 +254,9 @@ def load_layers():
 
 def load_hidden():
     def hidden_states(prompt: str) -> np.ndarray:
-        codes = np.array([ord(c) for c in prompt])
+        codes, at = np.unique([ord(c) for c in prompt], return_inverse=True)
         waves = np.outer(codes, np.arange(1, WIDTH + 1) / WIDTH)
-        return np.stack([10.0 * np.cos(waves + layer) for layer in range(HIDDEN_LAYERS + 1)])
+        return np.stack([10.0 * np.cos(waves + layer)[at] for layer in range(HIDDEN_LAYERS + 1)])
 
     return hidden_states
 
