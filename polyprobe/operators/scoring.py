@@ -36,7 +36,12 @@ def score_summary(
     if backend == "auto":
         backend = "arrow" if width is not None and width >= ARROW_FROM_WIDTH else "jvm"
     if backend == "arrow":
-        return df.withColumn(out, F.pandas_udf(_numpy_summary, SUMMARY)(F.col(logits), id_sets))
+        raw = F.pandas_udf(_numpy_summary, SUMMARY)(F.col(logits), id_sets)
+        # Arrow hands NaN results back as nulls.
+        nan = F.lit(float("nan"))
+        return df.withColumn(out, V.let(raw, lambda s: F.struct(
+            F.transform(s["masses"], lambda m: F.coalesce(m, nan)).alias("masses"),
+            F.coalesce(s["entropy"], nan).alias("entropy"), s["argmax_id"].alias("argmax_id"))))
     return df.withColumn(out, V.softmax_parts(F.col(logits), lambda x, peak, w, z: F.struct(
         F.transform(id_sets, lambda ids: F.aggregate(
             ids, F.lit(0.0), lambda acc, i: acc + F.get(w, i)) / z).alias("masses"),
