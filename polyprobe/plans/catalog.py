@@ -439,9 +439,8 @@ def gram_scale(spark, sf_dir):
 
 @query
 def layer_energy(spark, sf_dir):
-    rows, gram = _gram(spark, sf_dir)
     keys = ["lang", "item_no", "layer"]
-    return readout.layer_energy(_latents(spark, sf_dir), keys, gram, rows.count()).select(
+    return readout.layer_energy(_latents(spark, sf_dir), keys, _gram(spark, sf_dir)[0]).select(
         *keys, r6("energy").alias("energy"))
 
 

@@ -91,7 +91,7 @@ def test_gram_and_energy_equal_the_direct_form(spark, sf_dir):
     scale = readout.gram_scale(gram, rows).first()["scale"]
     assert np.isclose(scale, np.sqrt(((u.T @ u) ** 2).sum() / len(u) ** 2))
     latents = src.latents(spark, sf_dir, src.labelled(spark, sf_dir).select("doc_id", "lang", "item_no"), [2])
-    got = readout.layer_energy(latents.select("doc_id", "vec"), ["doc_id"], gram, len(u)).toPandas()
+    got = readout.layer_energy(latents.select("doc_id", "vec"), ["doc_id"], rows).toPandas()
     z = {r["doc_id"]: np.array(r["vec"], dtype=float) for r in latents.collect()}
     for _, r in got.iterrows():
         v = z[r["doc_id"]] / np.linalg.norm(z[r["doc_id"]])
