@@ -25,15 +25,12 @@ def choose(df: DataFrame, seed: int, id_cols: list[str], classes: str = "classes
     verdict = V.let(leaders(F.col(classes)), lambda tied: F.struct(
         F.get(tied, (draw % F.nullif(F.size(tied), F.lit(0))).cast("int")).alias("winner"),
         F.when(tied.isNotNull(), F.size(tied)).alias("n")))
-    return (
-        df.withColumn("_verdict", verdict)
-        .withColumn("is_invalid", F.col("_verdict.n").isNull())
-        .withColumn("is_tie", F.coalesce(F.col("_verdict.n") > 1, F.lit(False)))
-        .withColumn("pred_class", F.col("_verdict.winner.class"))
-        .withColumn("pred_word", F.col("_verdict.winner.word"))
-        .withColumn("pred_gold_word", F.col("_verdict.winner.gold_word"))
-        .drop("_verdict")
-    )
+    winner = F.col("_verdict.winner")
+    return df.withColumn("_verdict", verdict).withColumns({
+        "is_invalid": F.col("_verdict.n").isNull(),
+        "is_tie": F.coalesce(F.col("_verdict.n") > 1, F.lit(False)),
+        "pred_class": winner["class"], "pred_word": winner["word"], "pred_gold_word": winner["gold_word"],
+    }).drop("_verdict")
 
 
 def class_mass(cls: str, classes: str = "classes") -> Column:

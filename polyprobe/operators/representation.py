@@ -10,7 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-# Default number of slices each group is cut into before its sums are merged.
+# Slices each group is cut into before its sums are merged.  A slice costs one
+# width x width matrix of shuffle; raise it when groups hold many more rows
+# than 32 tasks should stream over.
 SPLITS = 32
 
 
@@ -50,7 +52,7 @@ def gram_rows(
         for batch in batches:
             if not len(batch):
                 continue
-            parts = batch.groupby(names, sort=False) if names else [((), batch)]
+            parts = batch.groupby(names, sort=False, dropna=False) if names else [((), batch)]
             for key, part in parts:
                 x = np.stack(part["_vec"].to_list()).astype(np.float64)
                 x = np.hstack([np.ones((len(x), 1)), x])

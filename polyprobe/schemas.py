@@ -37,3 +37,12 @@ GAP_TABLE = T.StructType([
     T.StructField("latent_token_id", T.StringType()),
     T.StructField("latent_token_str", T.StringType()),
 ])
+
+
+# The given tables.
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}

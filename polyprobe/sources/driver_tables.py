@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe import locales
+from polyprobe import locales, schemas
 from polyprobe.functions import vectors as V
 from polyprobe.operators.candidates import class_table
 from polyprobe.operators.layout import spread
@@ -42,7 +42,7 @@ FOLD_TO = "aeiouaeiouaeiouaeiounc"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(schemas.TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def relabel(lang: Column, mapping: dict[str, str]) -> Column:
