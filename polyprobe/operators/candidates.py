@@ -49,7 +49,14 @@ def first_token_ids(load: Callable[[], Callable[[str], int | None]]) -> Callable
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         first = load()
         for batch in batches:
-            yield batch.map(lambda w: sorted({t for t in (first(w[:n + 1]) for n in range(len(w))) if t is not None}))
+            known: dict[str, int | None] = {}
+
+            def of(prefix: str) -> int | None:
+                if prefix not in known:
+                    known[prefix] = first(prefix)
+                return known[prefix]
+
+            yield batch.map(lambda w: sorted({of(w[:n + 1]) for n in range(len(w))} - {None}))
 
     return run
 
