@@ -18,8 +18,8 @@ def _plan(df):
 
 def test_json_arrays_keep_their_order(spark, tmp_path):
     items = [{"input": f"text {i} «é»", "answer": "positive"} for i in range(30)]
-    (tmp_path / "emotion_en30_test.json").write_text(json.dumps(items, ensure_ascii=False, indent=1), "utf-8")
-    (tmp_path / "emotion_de1_test.json").write_text(json.dumps([{"input": "x", "answer": "negativ"}]), "utf-8")
+    (tmp_path / "sentiment_en30_test.json").write_text(json.dumps(items, ensure_ascii=False, indent=1), "utf-8")
+    (tmp_path / "sentiment_de1_test.json").write_text(json.dumps([{"input": "x", "answer": "negativ"}]), "utf-8")
     got = files.read_eval_arrays(spark, str(tmp_path), "sentiment")
     assert got.count() == 31
     en = files.read_eval_arrays(spark, str(tmp_path), "sentiment", ["en"]).orderBy("item_no").collect()
@@ -28,7 +28,7 @@ def test_json_arrays_keep_their_order(spark, tmp_path):
 
 
 def test_two_field_tasks_have_their_own_schema(spark, tmp_path):
-    (tmp_path / "snli_fr1_test.json").write_text(json.dumps([{"premise": "a", "hypothesis": "b", "answer": "c"}]))
+    (tmp_path / "nli_fr1_test.json").write_text(json.dumps([{"premise": "a", "hypothesis": "b", "answer": "c"}]))
     (row,) = files.read_eval_arrays(spark, str(tmp_path), "nli").collect()
     assert (row["premise"], row["hypothesis"], row["answer"], row["lang"]) == ("a", "b", "c", "fr")
 
