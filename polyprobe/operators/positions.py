@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Ids share a range when they agree above this many low bits.
+# Ids share a range when they agree above this many low bits.  Running counts
+# hold one row per range and group: raise it for ids beyond some 10**11.
 RANGE_BITS = 10
 
 

@@ -98,6 +98,12 @@ def test_gram_and_energy_equal_the_direct_form(spark, sf_dir):
         assert np.isclose(r["energy"], np.sqrt(((u @ v) ** 2).mean()) / scale)
 
 
+def test_oversized_gram_is_refused(spark, sf_dir):
+    rows = readout.unembed_normalized(src.unembed(spark, sf_dir), src.NORM_WEIGHT)
+    with pytest.raises(ValueError):
+        readout.layer_energy(rows, ["token_id"], rows, max_gram_bytes=1000)
+
+
 def test_components_equal_numpy(spark, sf_dir):
     pooled = rp.pooled(spark, sf_dir)
     pdf = pooled.filter("layer = 1").toPandas()
