@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyprobe.llm import neardup
+from polyprobe.llm import neardup, quality_rules
 from polyprobe.llm.common import table
 
 
@@ -14,7 +14,12 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_quality_rules": op8_quality_rules,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
