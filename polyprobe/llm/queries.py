@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import neardup, packing, quality_rules, toxicity
+from polyprobe.llm import neardup, packing, pii, quality_rules, toxicity
 from polyprobe.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+#: Key of the pseudonyms; a real corpus passes its own.
+PII_KEY = "registered-query"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,6 +43,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
