@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import neardup, packing, pii, quality_rules, toxicity
+from polyprobe.llm import decontamination, neardup, packing, pii, quality_rules, toxicity
 from polyprobe.llm.common import table
 
 
@@ -31,6 +31,10 @@ def _held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_held_out(F.col("doc_id")))
@@ -45,6 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_template_decontamination": op4_template_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_minhash_neardup": op10_minhash_neardup,
