@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import decontamination, neardup, packing, pii, quality_rules, toxicity
+from polyprobe.llm import decontamination, neardup, packing, pii, quality_rules, suffix_dedup, toxicity
 from polyprobe.llm.common import table
 
 
@@ -27,6 +27,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    found = suffix_dedup.repeated_bytes(docs).select(
+        "digest", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", suffix_dedup.text_digest().alias("digest")).join(found, "digest").drop("digest")
+
+
 def _held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -50,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_template_decontamination": op4_template_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_minhash_neardup": op10_minhash_neardup,
