@@ -9,10 +9,11 @@ similarity 0.8 all bands of a pair miss with probability 5e-8.
 
 Documents with equal shingle sets are one class before anything is paired, and
 a bucket offers star edges (hub to member), never all pairs.  A star may miss
-a link between two members that both fail against its hub, so later rounds give
-every bucket that still spans several components further hubs, twice as many
-each round, until no pair of different components is left untried.  All links
-are confirmed on full shingle sets.
+a link between two members that both fail against its hub, so buckets that still
+span several components get further hubs, sixteen times as many each round,
+until no pair of different components is left untried.  An exact bound spares
+nearly all of these pairs: shingles that no other open member has can't be
+shared.  All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -150,6 +151,36 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         pairs.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
+def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, rep, ...) of the buckets whose members span several components, with each member's label."""
+    named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
+        .withColumn("label", F.coalesce("label", "rep"))
+    mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return named.join(mixed_keys.select("key"), "key", "left_semi")
+
+
+def with_shareable(buckets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Add how many of a member's shingles any other open member has too.
+
+    Two sets share no more than the smaller of these numbers, which bounds their
+    similarity exactly and spares most pairs of heavily edited copies.
+    """
+    members = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), size))
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield batch_of(schema, doc_id=ids, h=signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
+
+    single = texts.join(members, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint") \
+        .groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep = other") \
+        .groupBy("rep").agg(F.count("*").alias("single"))
+    return buckets.join(single, "rep", "left") \
+        .withColumn("shareable", F.col("n_shingles") - F.coalesce("single", F.lit(0))).drop("single")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                     percent: int = 80) -> DataFrame:
     """Component of every document under near-duplicate links.
@@ -173,38 +204,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = sets.join(reps, sets.doc_id == reps.rep).select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top")
     crowded = stored(rows.join(shared.select("key", "hub"), "key").distinct(), "buckets")
+    # Only texts that share a bucket are moved, and once.
+    close = stored(texts.join(crowded.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     # First each member tries one hub, the smallest any of its buckets offers.
     tried = stored(crowded.where("rep > hub").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a"))
                    .select("a", "b"), "pairs")
-    links = stored(confirmed(tried, texts, size, percent), "links")
+    links = stored(confirmed(tried, close, size, percent), "links")
+    labels = components(links, "labels")
     release(spark)
-    hubs_each = 1
-    done = crowded.select("key", F.lit(None).cast("bigint").alias("passed")).limit(0)
-    while True:
-        labels = components(links, "labels")
-        where = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
-            .select("key", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
-        open_keys = where.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                             F.max("rep").alias("last")).where("lo < hi") \
-            .join(done, "key", "left").where("passed is null or passed < last").select("key", "passed")
-        rest = stored(where.join(open_keys, "key").where("passed is null or rep > passed"), "open")
+    rest = still_open(crowded.select("key", "rep", "n_shingles"), labels)
+    rest = stored(with_shareable(stored(rest, "open"), close, size), "open")
+    for hubs_each in (16 ** k for k in range(1, 16)):
         hubs = rest.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("rep"))) \
-            .where(F.col("at") <= hubs_each)
-        hubs = stored(hubs.select("key", F.col("rep").alias("a"), F.col("label").alias("la"),
-                                  F.col("n_shingles").alias("na")), "hubs")
-        if hubs.isEmpty():
-            break
+            .where(F.col("at") <= hubs_each) \
+            .select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"),
+                    F.col("shareable").alias("sa"))
+        both = F.least("sa", "shareable")
         offered = hubs.join(rest, "key").where(
             (F.col("rep") > F.col("a")) & (F.col("label") != F.col("la"))
-            & (100 * F.least("na", "n_shingles") >= percent * F.greatest("na", "n_shingles")))
+            & (100 * both >= percent * (F.col("na") + F.col("n_shingles") - both)))
         fresh = stored(offered.select("a", F.col("rep").alias("b")).distinct()
                        .join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(confirmed(fresh, texts, size, percent), "links")
-        tried, links = tried.unionByName(fresh), links.unionByName(found)
-        done = stored(done.unionByName(hubs.groupBy("key").agg(F.max("a").alias("passed")))
-                      .groupBy("key").agg(F.max("passed").alias("passed")), "passed")
-        hubs_each *= 2
+        found = stored(confirmed(fresh, close, size, percent), "links")
+        # What each bucket still has to try: members beyond its hubs, if they span components.
+        passed = hubs.groupBy("key").agg(F.max("a").alias("passed"), F.count("*").alias("tried"))
+        beyond = rest.drop("label").join(passed.where(F.col("tried") == hubs_each), "key") \
+            .where(F.col("rep") > F.col("passed")).drop("passed", "tried")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links, "labels")
+        tried = tried.unionByName(fresh)
+        rest = stored(still_open(beyond, labels), "open")
         release(spark)
+        if rest.isEmpty():
+            break
     placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     # An id that repeats with different texts joins their components.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import decontamination, neardup, packing, pii, quality_rules, suffix_dedup, toxicity
+from polyprobe.llm import decontamination, extraction, neardup, packing, pii, quality_rules, suffix_dedup, toxicity
 from polyprobe.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_template_decontamination": op4_template_decontamination,
+    "op5_template_extraction": op5_template_extraction,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
