@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import decontamination, extraction, neardup, packing, pii, quality_rules, suffix_dedup, toxicity
+from polyprobe.llm import decontamination, extraction, lm_scoring, neardup, packing, pii, quality_rules, suffix_dedup, toxicity
 from polyprobe.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.score(table(spark, sf_dir, "documents"), order=2)
+    return found.withColumn("log_score", F.round("log_score", 3))
+
+
 #: Key of the pseudonyms; a real corpus passes its own.
 PII_KEY = "registered-query"
 
@@ -60,6 +65,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_template_decontamination": op4_template_decontamination,
@@ -70,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_lm_scoring": lm_scoring.ORACLE_SQL}
