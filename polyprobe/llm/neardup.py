@@ -11,9 +11,8 @@ Documents with equal shingle sets are one class before anything is paired, and
 a bucket offers star edges (hub to member), never all pairs.  A star may miss
 a link between two members that both fail against its hub, so buckets that still
 span several components get further hubs, sixteen times as many each round,
-until no pair of different components is left untried.  An exact bound spares
-nearly all of these pairs: shingles that no other open member has can't be
-shared.  All links are confirmed on full shingle sets.
+until no pair of different components is left untried.  An exact bound on what
+two sets can share spares nearly all of these pairs.  All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ from polyprobe.llm.common import batch_of, mixed, release, signed, slices, store
 
 BINS = 128
 BANDS = 32
+#: Members up to which a shingle's pairs are counted one by one when buckets are worked out.
+RARE = 16
 #: Length of the random sequence from which an empty bin borrows.
 _TRIES = 2048
 _DONORS = np.random.default_rng(20170806).integers(0, BINS, (_TRIES, BINS))
@@ -159,26 +160,32 @@ def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed_keys.select("key"), "key", "left_semi")
 
 
-def with_shareable(buckets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Add how many of a member's shingles any other open member has too.
+def shared_shingles(buckets: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """What open members can share at all, which bounds the similarity of a pair exactly.
 
-    Two sets share no more than the smaller of these numbers, which bounds their
-    similarity exactly and spares most pairs of heavily edited copies.
+    Shingles of at most ``RARE`` open members are counted pair by pair: (a, b,
+    rare).  The others only bound: a pair shares no more of them than the
+    smaller of both members' numbers (rep, frequent).  An edit makes rare
+    shingles, so heavily edited copies of one text fall to the bound.
     """
     members = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64())])
+    schema = pa.schema([("rep", pa.int64()), ("h", pa.int64())])
 
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), size))
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-            yield batch_of(schema, doc_id=ids, h=signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
+            yield batch_of(schema, rep=ids, h=signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
 
-    single = texts.join(members, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint") \
-        .groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep = other") \
-        .groupBy("rep").agg(F.count("*").alias("single"))
-    return buckets.join(single, "rep", "left") \
-        .withColumn("shareable", F.col("n_shingles") - F.coalesce("single", F.lit(0))).drop("single")
+    rows = stored(texts.join(members, "doc_id").select("doc_id", "text").mapInArrow(run, "rep bigint, h bigint"),
+                  "shingles")
+    spread = stored(rows.join(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "h"), "shingles")
+    frequent = spread.where(F.col("c") > RARE).groupBy("rep").agg(F.count("*").alias("frequent"))
+    few = spread.where(F.col("c") <= RARE).groupBy("h").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
+    rare = few.select("reps", F.explode("reps").alias("a")) \
+        .select("a", F.explode(F.filter("reps", lambda x: x > F.col("a"))).alias("b")) \
+        .groupBy("a", "b").agg(F.count("*").alias("rare"))
+    return frequent, rare
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -213,17 +220,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links, "labels")
     release(spark)
     rest = still_open(crowded.select("key", "rep", "n_shingles"), labels)
-    rest = stored(with_shareable(stored(rest, "open"), close, size), "open")
+    rest = stored(rest, "open")
+    frequent, rare = shared_shingles(rest, close, size)
+    rest = stored(rest.join(frequent, "rep", "left").withColumn("frequent", F.coalesce("frequent", F.lit(0))), "open")
+    release(spark)
+
+    def possible(common, na, nb):
+        return 100 * common >= percent * (F.col(na) + F.col(nb) - common)
+
+    ends = rest.groupBy("rep").agg(F.first("n_shingles").alias("n"), F.first("frequent").alias("f"),
+                                   F.first("label").alias("l"))
+    by_rare = rare.join(ends.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"),
+                                    F.col("l").alias("la")), "a") \
+        .join(ends.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"),
+                          F.col("l").alias("lb")), "b") \
+        .where((F.col("la") != F.col("lb")) & possible(F.least("fa", "fb") + F.col("rare"), "na", "nb")).select("a", "b")
     for hubs_each in (16 ** k for k in range(1, 16)):
         hubs = rest.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("rep"))) \
             .where(F.col("at") <= hubs_each) \
             .select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"),
-                    F.col("shareable").alias("sa"))
-        both = F.least("sa", "shareable")
+                    F.col("frequent").alias("fa"))
         offered = hubs.join(rest, "key").where(
             (F.col("rep") > F.col("a")) & (F.col("label") != F.col("la"))
-            & (100 * both >= percent * (F.col("na") + F.col("n_shingles") - both)))
-        fresh = stored(offered.select("a", F.col("rep").alias("b")).distinct()
+            & possible(F.least("fa", "frequent"), "na", "n_shingles"))
+        offered = offered.select("a", F.col("rep").alias("b"))
+        if by_rare is not None:
+            offered, by_rare = offered.unionByName(by_rare), None
+        fresh = stored(offered.distinct()
                        .join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirmed(fresh, close, size, percent), "links")
         # What each bucket still has to try: members beyond its hubs, if they span components.
