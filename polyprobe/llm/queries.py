@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import decontamination, extraction, lm_scoring, neardup, packing, pii, quality_rules, suffix_dedup, toxicity
+from polyprobe.llm import decontamination, extraction, lm_scoring, neardup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from polyprobe.llm.common import table
 
 
+def op9_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.cotrain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op9_cotrained_quality": op9_cotrained_quality,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
