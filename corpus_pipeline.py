@@ -17,8 +17,9 @@ PII_KEY = "corpus-pipeline"
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    chosen = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+    own = docs.alias("own")
+    chosen = ids.select("doc_id").distinct().alias("chosen")
+    return own.join(chosen, F.col("own.doc_id").eqNullSafe(F.col("chosen.doc_id")), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -234,6 +234,9 @@ def mask(docs: DataFrame, key: str, text_col: str = "text", count_col: str | Non
     Python, any number of rows and any length of text.
     """
     names = [c for c in docs.columns if c != count_col]
-    out = docs.select(*[c for c in names if c != text_col], pseudonymise(F.col(text_col), key).alias("__masked"))
-    return out.select(*[F.col("__masked.text").alias(c) if c == text_col else F.col(c) for c in names],
-                      *([F.col("__masked.n_replaced").alias(count_col)] if count_col else []))
+    held = "masked"
+    while held in names:
+        held += "_"
+    out = docs.select(*[f"`{c}`" for c in names if c != text_col], pseudonymise(F.col(text_col), key).alias(held))
+    return out.select(*[F.col(f"{held}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+                      *([F.col(f"{held}.n_replaced").alias(count_col)] if count_col else []))
