@@ -28,7 +28,10 @@ def _predict(df: DataFrame, load: Callable[[], Model], out: str, prompt: str, ba
 
         return run
 
-    return df.withColumn(out, predict_batch_udf(make, return_type=_FLAT, batch_size=batch_size)(prompt))
+    # Marked nondeterministic so that the optimizer neither repeats nor moves the call.
+    call = predict_batch_udf(make, return_type=_FLAT, batch_size=batch_size)
+    call = getattr(call, "asNondeterministic", lambda: call)()
+    return df.withColumn(out, call(prompt))
 
 
 def _cut(df: DataFrame, flat: str, width: int, vec: str) -> DataFrame:

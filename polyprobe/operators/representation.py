@@ -8,13 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F, types as T
-
-# Slices each group is cut into before its sums are merged.  A slice costs one
-# width x width matrix of shuffle; raise it when groups hold many more rows
-# than 32 tasks should stream over.
-SPLITS = 32
-
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 def mean_pool(hidden: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """Mean vector over token positions."""
@@ -22,18 +16,13 @@ def mean_pool(hidden: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame
         vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias(vec))
 
 
-def gram_rows(
-    df: DataFrame, group: list[str], row_key: list[str], vec: str = "vec", splits: int | None = None
-) -> DataFrame:
+def gram_rows(df: DataFrame, group: list[str], vec: str = "vec") -> DataFrame:
     """Rows of X'X per group, for X with a leading column of ones.
 
-    Row 0 is [n, column sums], row i is [sum_i, products with column i].
-    Every group is cut into slices by the hash of ``row_key``, which tells the
-    rows of a group apart, so copies of one vector spread over the slices.  A
-    task streams over its slices, keeping one matrix at a time, and the
-    partial matrices are added by row.
+    Row 0 is [n, column sums], row i is [sum_i, products with column i].  The
+    vectors stay where they are: each task sorts its own rows by group, keeps
+    one matrix at a time, and only these width x width sums are shuffled.
     """
-    splits = splits or SPLITS
     schema = T.StructType([
         *[df.schema[g] for g in group],
         T.StructField("i", T.IntegerType()),
@@ -64,26 +53,35 @@ def gram_rows(
         if total is not None:
             yield emit(current, total)
 
-    slice_no = F.pmod(F.xxhash64(*row_key), F.lit(splits)).alias("_slice")
-    sliced = df.select(*group, slice_no, F.col(vec).alias("_vec")).repartition(*group, "_slice")
-    sliced = sliced.sortWithinPartitions(*group) if group else sliced
+    rows = df.select(*group, F.col(vec).alias("_vec"))
+    rows = rows.sortWithinPartitions(*group) if group else rows
     return (
-        sliced.mapInPandas(partial, schema).groupBy(*group, "i")
+        rows.mapInPandas(partial, schema).groupBy(*group, "i")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
     )
 
 
+def _centred_rows(df: DataFrame, group: list[str], vec: str) -> DataFrame:
+    """``gram_rows`` of the vectors less their group's mean, with that mean as ``mean``.
+
+    Products of centred vectors do not cancel where means are large.
+    """
+    means = df.groupBy(*group).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("mean"))
+    centred = df.join(means, group).select(
+        *group, F.zip_with(F.col(vec).cast("array<double>"), "mean", lambda x, m: x - m).alias("_centred"))
+    return gram_rows(centred, group, "_centred").join(means, group)
+
+
 def _moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and sample covariance from the rows of one group."""
+    """Mean vector and sample covariance from the centred rows of one group; NaN for a single vector."""
     full = np.stack(rows.sort_values("i")["row"].to_list())
-    n = full[0, 0]
-    mean = full[0, 1:] / n
-    return mean, (full[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+    n, rest = full[0, 0], full[0, 1:] / full[0, 0]
+    mean = np.asarray(rows["mean"].iloc[0], dtype=np.float64) + rest
+    scatter = full[1:, 1:] - n * np.outer(rest, rest)
+    return mean, scatter / (n - 1) if n > 1 else np.full_like(scatter, np.nan)
 
 
-def covariance_matrix(
-    df: DataFrame, group: list[str], row_key: list[str], vec: str = "vec", splits: int | None = None
-) -> DataFrame:
+def covariance_matrix(df: DataFrame, group: list[str], vec: str = "vec") -> DataFrame:
     """(group..., i, j, cov) over all stacked vectors of a group."""
     schema = T.StructType([
         *[df.schema[g] for g in group], T.StructField("i", T.IntegerType()),
@@ -99,12 +97,10 @@ def covariance_matrix(
         return out[schema.names]
 
     # One group holds a width x width matrix, never the vectors behind it.
-    return gram_rows(df, group, row_key, vec, splits).groupBy(*group).applyInPandas(cells, schema)
+    return _centred_rows(df, group, vec).groupBy(*group).applyInPandas(cells, schema)
 
 
-def principal_components(
-    df: DataFrame, group: list[str], row_key: list[str], k: int, vec: str = "vec", splits: int | None = None
-) -> DataFrame:
+def principal_components(df: DataFrame, group: list[str], k: int, vec: str = "vec") -> DataFrame:
     """One row per group: mean, loadings (k x width) and variances.
 
     The sign of a loading is fixed so that its largest entry is positive.
@@ -118,7 +114,8 @@ def principal_components(
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         mean, cov = _moments(rows)
-        values, vectors = np.linalg.eigh(cov)
+        # A single vector has no directions of variance; any basis spans it.
+        values, vectors = np.linalg.eigh(np.nan_to_num(cov))
         order = np.argsort(values)[::-1][:k]
         top = vectors[:, order].T
         peak = top[np.arange(len(top)), np.abs(top).argmax(axis=1)]
@@ -127,7 +124,7 @@ def principal_components(
         row |= {"mean": mean.tolist(), "loadings": [t.tolist() for t in top], "variances": values[order].tolist()}
         return pd.DataFrame([row], columns=schema.names)
 
-    return gram_rows(df, group, row_key, vec, splits).groupBy(*group).applyInPandas(solve, schema)
+    return _centred_rows(df, group, vec).groupBy(*group).applyInPandas(solve, schema)
 
 
 def project(df: DataFrame, components: DataFrame, group: list[str], vec: str = "vec") -> DataFrame:
@@ -136,9 +133,8 @@ def project(df: DataFrame, components: DataFrame, group: list[str], vec: str = "
         centred = F.zip_with(F.col(vec), F.col("mean"), lambda x, m: x - m)
         return F.aggregate(F.zip_with(centred, loading, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-    # components: one row per group (layer), of fixed width.
     return (
-        df.join(F.broadcast(components), group)
+        df.join(components, group)
         .withColumn("coords", F.transform("loadings", along))
         .drop("mean", "loadings", "variances")
     )
@@ -162,12 +158,21 @@ def pearson_pairs(
         F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("r"))
 
 
-def stack_languages(df: DataFrame, order, block: int, lang: str = "lang", item: str = "item_no") -> DataFrame:
-    """Position in the matrix that stacks languages in ``order``, ``block`` rows each."""
+def stack_languages(
+    df: DataFrame, order, keys: list[str], lang: str = "lang", item: str = "item_no"
+) -> DataFrame:
+    """Position in the matrix that stacks whole languages in ``order``, per ``keys``.
+
+    A language starts where the one before it ends, whatever its size.
+    """
     place = F.array_position(F.lit(list(order)), F.col(lang))
-    kept = df.filter((place > 0) & (F.col(item) < block))
-    return kept.withColumn("stacked_no", (place - 1) * block + F.col(item)).withColumn(
-        "segment", F.get(F.lit(list(order)), F.floor(F.col("stacked_no") / block).cast("int")))
+    placed = df.withColumn("_place", place).filter("_place > 0")
+    earlier = Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per language.
+    starts = placed.groupBy(*keys, "_place").agg((F.max(item) + 1).alias("_n")).select(
+        *keys, "_place", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return placed.join(starts, [*keys, "_place"]).withColumn(
+        "stacked_no", F.col("_start") + F.col(item)).withColumn("segment", F.col(lang)).drop("_place", "_start")
 
 
 def segment_by_bucket(df: DataFrame, width: int, item: str = "item_no") -> DataFrame:

@@ -20,7 +20,7 @@ def top_pieces(df: DataFrame, vocab: DataFrame, logits: str = "logits", k: int =
     def ranked(x: Column, peak: Column, w: Column, z: Column) -> Column:
         by_score = F.array_sort(F.transform(x, lambda v, i: F.struct((-v).alias("o"), i.alias("id"))))
         return F.transform(F.slice(by_score, 1, k), lambda t: F.struct(
-            t["id"].alias("token_id"), (F.get(w, t["id"]) / z * 100).cast("int").alias("percent")))
+            t["id"].alias("token_id"), (F.get(w, t["id"]) / z * 100).try_cast("int").alias("percent")))
 
     top = df.select(*keys, F.posexplode(V.softmax_parts(F.col(logits), ranked)).alias("_pos", "_t"))
     return top.select(*keys, (F.col("_pos") + 1).alias("rank"), "_t.*").join(vocab, "token_id")

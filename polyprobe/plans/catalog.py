@@ -403,16 +403,24 @@ def _latents(spark, sf_dir):
     return src.latents(spark, sf_dir, src.labelled(spark, sf_dir).select("doc_id", "lang", "item_no"))
 
 
+def _readout(spark, sf_dir):
+    keys = ["lang", "item_no", "layer"]
+    return readout.readout_logits(_latents(spark, sf_dir), keys, src.unembed(spark, sf_dir), src.NORM_WEIGHT)
+
+
 @query
 def readout_logits(spark, sf_dir):
     """Logits over the whole readout matrix, summarised per item and layer."""
-    keys = ["lang", "item_no", "layer"]
-    out = readout.readout_logits(_latents(spark, sf_dir), keys, src.unembed(spark, sf_dir), src.NORM_WEIGHT)
-    mean = F.aggregate("logits", F.lit(0.0), lambda a, x: a + x) / F.size("logits")
-    return out.select(
-        *keys, F.size("logits").alias("n_tokens"), r6(F.array_min("logits")).alias("low"),
-        r6(F.array_max("logits")).alias("high"), r6(mean).alias("mean"),
-        (F.array_position("logits", F.array_max("logits")) - 1).alias("top_id"))
+    return _readout(spark, sf_dir).select(
+        "lang", "item_no", "layer", F.col("n_tokens").cast("int").alias("n_tokens"), r6("low").alias("low"),
+        r6("high").alias("high"), r6("mean").alias("mean"), "top_id")
+
+
+@query
+def lens_from_latents(spark, sf_dir):
+    """Latents through norm and readout matrix to entropy bands per language and layer."""
+    ci = stats.ci_gaussian(_readout(spark, sf_dir), ["lang", "layer"], ["entropy"])
+    return ci.select("lang", "layer", "n", r6("mean").alias("mean"), r6("lower").alias("lower"), r6("upper").alias("upper"))
 
 
 @query
@@ -453,7 +461,7 @@ def mean_pool(spark, sf_dir):
 
 @query
 def covariance_matrix(spark, sf_dir):
-    cov = rep.covariance_matrix(rp.pooled(spark, sf_dir), ["layer"], ["lang", "item_no"])
+    cov = rep.covariance_matrix(layout.materialize(rp.pooled(spark, sf_dir), "pooled"), ["layer"])
     return cov.select("layer", "i", "j", r6("cov").alias("cov"))
 
 
@@ -465,7 +473,7 @@ def pca_project(spark, sf_dir):
 @query
 def pearson_pairs(spark, sf_dir):
     """One layer, the last one stored."""
-    return rp.pearson(spark, sf_dir).filter(F.col("layer") == src.HIDDEN_LAYERS - 1).select(
+    return rp.pearson(spark, sf_dir, src.HIDDEN_LAYERS - 1).select(
         "lang_a", "lang_b", "n_items", r6("r").alias("r"))
 
 
@@ -476,15 +484,14 @@ def pearson_by_layer(spark, sf_dir):
 
 @query
 def segment_by_lang(spark, sf_dir):
-    stacked = rep.stack_languages(rp.scatter(spark, sf_dir), locales.STACK_LANGUAGES, rp.BLOCK)
+    stacked = rep.stack_languages(rp.scatter(spark, sf_dir), locales.STACK_LANGUAGES, ["layer"])
     return stacked.select("layer", "stacked_no", "segment", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query
 def segment_by_bucket(spark, sf_dir):
-    """Index ranges pooled over the first four stacked languages."""
-    four = rp.scatter(spark, sf_dir).filter(F.col("lang").isin(*locales.STACK_LANGUAGES[:4]))
-    return rep.segment_by_bucket(four, rp.BUCKET_WIDTH).select(
+    """Index ranges pooled over all languages."""
+    return rep.segment_by_bucket(rp.scatter(spark, sf_dir), rp.BUCKET_WIDTH).select(
         "layer", "segment", "lang", "item_no", r6("x").alias("x"), r6("y").alias("y"))
 
 
@@ -509,27 +516,6 @@ def batch_score(spark, sf_dir):
         "logit", r6("logit"))
 
 
-@query
-def batch_latents(spark, sf_dir):
-    rows = batch.layer_latents(_asked(spark, sf_dir), src.load_layers, src.WIDTH)
-    return rows.select("lang", "item_no", "layer", F.posexplode("vec").alias("i", "x")).withColumn("x", r6("x"))
-
-
-@query
-def batch_hidden(spark, sf_dir):
-    rows = batch.pooled_hidden(_asked(spark, sf_dir), src.load_hidden, src.WIDTH)
-    return rows.select("lang", "item_no", "layer", F.posexplode("vec").alias("i", "x")).withColumn("x", r6("x"))
-
-
-@query
-def batch_components(spark, sf_dir):
-    rows = batch.component_logits(
-        _asked(spark, sf_dir), src.load_components, src.COMPONENTS, src.HIDDEN_LAYERS, src.WIDTH)
-    return rows.select(
-        "lang", "item_no", "component", "layer", F.posexplode("logits").alias("token_id", "logit")).withColumn(
-        "logit", r6("logit"))
-
-
 @query
 def batch_accuracy(spark, sf_dir):
     """The whole evaluation with scores computed on the spot and stored once."""

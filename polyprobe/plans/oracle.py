@@ -490,14 +490,21 @@ def oracle_sql() -> dict[str, str]:
       FROM noisy GROUP BY run_id, lang, item_no, layer""")
 
     # readout matrix
-    q["readout_logits"] = _with([*_SCORED], f"""
+    products = f"""
       , normed AS (
         SELECT lang, item_no, layer, list_transform(embedding, lambda x, i: x::double / sqrt(list_sum(list_transform(embedding,
           lambda e: e::double * e::double)) / {src.WIDTH} + 1e-6::double) * (1 + (i - 1) / {src.WIDTH}::double)) z FROM latents),
       products AS (
-        SELECT n.lang, n.item_no, n.layer, e.vec_id, list_dot_product(n.z, e.embedding::double[]) v FROM normed n CROSS JOIN embeddings e)
+        SELECT n.lang, n.item_no, n.layer, e.vec_id, list_dot_product(n.z, e.embedding::double[]) v FROM normed n CROSS JOIN embeddings e)"""
+    q["readout_logits"] = _with([*_SCORED], products + f"""
       SELECT lang, item_no, layer::int layer, count(*)::int n_tokens, {r6('min(v)')} low, {r6('max(v)')} high, {r6('avg(v)')} mean,
         arg_max(vec_id, v) top_id FROM products GROUP BY lang, item_no, layer""")
+    q["lens_from_latents"] = _with([*_SCORED], products + f"""
+      , readout_peak AS (SELECT lang, item_no, layer, max(v) p FROM products GROUP BY ALL),
+      readout_w AS (SELECT lang, item_no, layer, v - p d, exp(v - p) w FROM products JOIN readout_peak USING (lang, item_no, layer)),
+      readout_h AS (SELECT lang, item_no, layer, (ln(sum(w)) - sum(w * d) / sum(w)) / ln(2) h FROM readout_w GROUP BY ALL)
+      SELECT lang, layer::int layer, count(h) n, {r6('avg(h)')} mean, {r6('avg(h) - 1.96 * stddev_samp(h) / sqrt(count(h))')} lower,
+        {r6('avg(h) + 1.96 * stddev_samp(h) / sqrt(count(h))')} upper FROM readout_h GROUP BY lang, layer""")
     q["unembed_normalized"] = _with([*_SCORED, MATRIX], f"SELECT token_id, i, {r6('u')} u FROM units")
     q["gram_matrix"] = _with([*_SCORED, MATRIX], f"SELECT i, j, {r6('g')} g FROM gram")
     q["gram_scale"] = _with([*_SCORED, MATRIX], f"SELECT size.n n_tokens, {r6('scale')} scale FROM gram_scaled CROSS JOIN size")
@@ -513,30 +520,19 @@ def oracle_sql() -> dict[str, str]:
     q["pearson_pairs"] = _with([PEARSON], f"SELECT lang_a, lang_b, n_items, r FROM pearson WHERE layer = {src.HIDDEN_LAYERS - 1}")
     q["pearson_by_layer"] = _with([PEARSON], "SELECT layer, lang_a, lang_b, n_items, r FROM pearson")
     q["segment_by_lang"] = _with([COMPONENTS], f"""
-      SELECT layer, (list_position({_LANG_LIST}, lang) - 1) * {rp.BLOCK} + item_no stacked_no, lang segment, x, y
-      FROM xy WHERE item_no < {rp.BLOCK}""")
+      , sizes AS (SELECT layer, lang, list_position({_LANG_LIST}, lang) place, max(item_no) + 1 n FROM xy GROUP BY layer, lang),
+      starts AS (SELECT layer, lang, coalesce(sum(n) OVER (PARTITION BY layer ORDER BY place
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) s FROM sizes WHERE place > 0)
+      SELECT layer, (s + item_no)::bigint stacked_no, lang segment, x, y FROM xy JOIN starts USING (layer, lang)""")
     low = f"(item_no // {rp.BUCKET_WIDTH}) * {rp.BUCKET_WIDTH}"
-    four = ", ".join(f"'{x}'" for x in locales.STACK_LANGUAGES[:4])
     q["segment_by_bucket"] = _with([COMPONENTS], f"""
-      SELECT layer, ({low})::varchar || '-' || ({low} + {rp.BUCKET_WIDTH})::varchar segment, lang, item_no, x, y
-      FROM xy WHERE lang IN ({four})""")
+      SELECT layer, ({low})::varchar || '-' || ({low} + {rp.BUCKET_WIDTH})::varchar segment, lang, item_no, x, y FROM xy""")
     q["head_per_lang"] = _with(_BASE, f"SELECT lang, item_no, doc_id, answer FROM single WHERE item_no < {rp.BLOCK}")
 
     # batch model jobs
     lettered = [*_BASE, _prompts_only(), LETTERS]
     q["batch_score"] = _with(lettered, f"""
       SELECT lang, item_no, i token_id, {r6(_waves('0'))} logit FROM letters CROSS JOIN features GROUP BY lang, item_no, i""")
-    q["batch_latents"] = _with(lettered, f"""
-      SELECT lang, item_no, layer, i, {r6(_waves('layer'))} x FROM letters CROSS JOIN features
-      CROSS JOIN (SELECT unnest(range(0, {src.N_LAYERS}))::int layer) s GROUP BY lang, item_no, layer, i""")
-    q["batch_hidden"] = _with(lettered, f"""
-      SELECT lang, item_no, layer, i, {r6(_waves('layer'))} x FROM letters CROSS JOIN features
-      CROSS JOIN (SELECT unnest(range(0, {src.HIDDEN_LAYERS + 1}))::int layer) s GROUP BY lang, item_no, layer, i""")
-    comps = ", ".join(f"({i}, '{c}')" for i, c in enumerate(src.COMPONENTS))
-    q["batch_components"] = _with(lettered, f"""
-      SELECT lang, item_no, component, layer, i token_id, {r6(_waves('layer + 0.25 * c'))} logit FROM letters CROSS JOIN features
-      CROSS JOIN (SELECT unnest(range(0, {src.HIDDEN_LAYERS}))::int layer) s
-      CROSS JOIN (SELECT * FROM (VALUES {comps}) t(c, component)) k GROUP BY lang, item_no, component, layer, i""")
     q["batch_accuracy"] = _with(lettered, f"""
       , waves AS (SELECT lang, item_no, i, {_waves('0')} x FROM letters CROSS JOIN features GROUP BY lang, item_no, i),
       weights AS (SELECT *, exp(x - max(x) OVER (PARTITION BY lang, item_no)) w FROM waves),

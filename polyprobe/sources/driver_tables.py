@@ -246,29 +246,3 @@ def _letter_waves(prompt: str, shift: float) -> np.ndarray:
 def load_scorer():
     """No language model is installed here, so prompts are scored by their letters."""
     return lambda prompts: np.stack([_letter_waves(p, 0.0) for p in prompts])
-
-
-def load_layers():
-    return lambda prompts: np.stack([[_letter_waves(p, float(layer)) for layer in range(N_LAYERS)] for p in prompts])
-
-
-def load_hidden():
-    def hidden_states(prompt: str) -> np.ndarray:
-        codes, at = np.unique([ord(c) for c in prompt], return_inverse=True)
-        waves = np.outer(codes, np.arange(1, WIDTH + 1) / WIDTH)
-        return np.stack([10.0 * np.cos(waves + layer)[at] for layer in range(HIDDEN_LAYERS + 1)])
-
-    return hidden_states
-
-
-COMPONENTS = ("block_2", "attn", "block_1", "mlp")
-
-
-def load_components():
-    def run(prompts):
-        return np.stack([
-            [[_letter_waves(p, layer + 0.25 * c) for layer in range(HIDDEN_LAYERS)] for c in range(len(COMPONENTS))]
-            for p in prompts
-        ])
-
-    return run

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from polyprobe.operators import positions, readout, representation as rep, stats
+from polyprobe.operators import positions, readout, representation as rep, sampling, stats
 from polyprobe.plans import lens as lp, representation as rp
 from polyprobe.sources import driver_tables as src
 
@@ -65,27 +65,36 @@ def _vectors(spark, sf_dir):
     return np.stack(pdf["u"].to_list()).astype(float)
 
 
-def test_readout_blocks_equal_the_whole_matrix(spark, sf_dir):
+def test_readout_is_the_same_in_blocks_and_with_any_ids(spark, sf_dir):
     items = src.labelled(spark, sf_dir).select("doc_id", "lang", "item_no")
     latents = src.latents(spark, sf_dir, items, [0])
     keys = ["lang", "item_no"]
-    args = (latents, keys, src.unembed(spark, sf_dir), src.NORM_WEIGHT)
-    whole = {(r["lang"], r["item_no"]): r["logits"] for r in readout.readout_logits(*args).collect()}
-    parts = readout.readout_logits(*args, max_broadcast_bytes=0, block_bytes=64 * 8 * 120, rows_per_group=30).collect()
-    glued = {}
-    for r in sorted(parts, key=lambda r: r["first_token_id"]):
-        glued.setdefault((r["lang"], r["item_no"]), []).extend(r["logits"])
-    assert {r["first_token_id"] for r in parts} == {0, 120, 240, 360, 480}
-    assert glued.keys() == whole.keys()
-    assert all(np.allclose(glued[k], whole[k]) for k in whole)
+    matrix = src.unembed(spark, sf_dir)
+    gapped = matrix.withColumn("token_id", F.col("token_id") * 3 - 700)
+    u = _vectors(spark, sf_dir)
+    want = {}
+    for r in latents.collect():
+        z = np.array(r["vec"], dtype=float)
+        x = u @ (z / np.sqrt((z * z).mean() + 1e-6) * np.array(src.NORM_WEIGHT))
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        want[r["lang"], r["item_no"]] = (len(u), x.min(), x.max(), x.mean(), int(x.argmax()), -(p * np.log2(p)).sum())
+    small = {"max_broadcast_bytes": 0, "block_bytes": 64 * 8 * 7, "rows_per_group": 30}
+    for rows, shift in ((matrix, lambda i: i), (gapped, lambda i: 3 * i - 700)):
+        for sizes in ({}, small):
+            got = readout.readout_logits(latents, keys, rows, src.NORM_WEIGHT, **sizes).collect()
+            assert {(r["lang"], r["item_no"]) for r in got} == want.keys() and len(got) == len(want)
+            for r in got:
+                n, low, high, mean, top, entropy = want[r["lang"], r["item_no"]]
+                assert (r["n_tokens"], r["top_id"]) == (n, shift(top))
+                assert np.allclose([r["low"], r["high"], r["mean"], r["entropy"]], [low, high, mean, entropy])
 
 
 def test_gram_and_energy_equal_the_direct_form(spark, sf_dir):
     u = _vectors(spark, sf_dir) * np.array(src.NORM_WEIGHT)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     rows = readout.unembed_normalized(src.unembed(spark, sf_dir), src.NORM_WEIGHT)
-    for splits in (1, 7):
-        gram = readout.gram_matrix(rows, splits)
+    for parts in (1, 7):
+        gram = readout.gram_matrix(rows.repartition(parts))
         cells = gram.toPandas().pivot(index="i", columns="j", values="g").to_numpy()
         assert np.allclose(cells, u.T @ u)
     scale = readout.gram_scale(gram, rows).first()["scale"]
@@ -110,11 +119,11 @@ def test_components_equal_numpy(spark, sf_dir):
     x = np.stack(pdf["vec"].to_list())
     cov = np.cov(x.T)
     values = np.linalg.eigvalsh(cov)[::-1]
-    comps = rep.principal_components(pooled, ["layer"], ["lang", "item_no"], 3, splits=5).filter("layer = 1").first()
+    comps = rep.principal_components(pooled, ["layer"], 3).filter("layer = 1").first()
     assert np.allclose(comps["variances"], values[:3])
     assert sum(comps["variances"]) <= np.trace(cov) + 1e-9
     assert all(max(v, key=abs) > 0 for v in comps["loadings"])
-    coords = rep.project(pooled, rep.principal_components(pooled, ["layer"], ["lang", "item_no"], 2), ["layer"])
+    coords = rep.project(pooled, rep.principal_components(pooled, ["layer"], 2), ["layer"])
     c = np.stack(coords.filter("layer = 1").toPandas()["coords"].to_list())
     assert np.allclose(c.mean(axis=0), 0, atol=1e-9)
     assert np.allclose(c.var(axis=0, ddof=1), values[:2])
@@ -131,14 +140,40 @@ def test_pearson_of_a_constant_side_is_null(spark):
     assert ("en", "hi") not in got
 
 
+def test_covariance_of_large_means_and_of_one_row(spark):
+    draw = np.random.default_rng(0)
+    x = 1e6 + 1e-3 * draw.normal(size=(500, 3))
+    rows = [("a", v.tolist()) for v in x] + [("b", [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "g string, vec array<double>").repartition(5)
+    got = rep.covariance_matrix(df, ["g"]).toPandas()
+    cells = got[got.g == "a"].pivot(index="i", columns="j", values="cov").to_numpy()
+    assert np.allclose(cells, np.cov(x.T), rtol=1e-4, atol=1e-12)
+    assert got[got.g == "b"]["cov"].isna().all()
+
+
+def test_vectors_are_not_shuffled_for_the_gram_matrix(spark, sf_dir):
+    rows = readout.unembed_normalized(src.unembed(spark, sf_dir), src.NORM_WEIGHT)
+    plan = readout.gram_matrix(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan
+
+
 def test_stacking_and_buckets(spark):
-    df = spark.createDataFrame([("de", 0), ("en", 1), ("en", 600), ("xx", 0)], "lang string, item_no bigint")
-    got = {(r["lang"], r["stacked_no"], r["segment"]) for r in rep.stack_languages(df, ("en", "de"), 500).collect()}
-    assert got == {("de", 500, "de"), ("en", 1, "en")}
+    df = spark.createDataFrame([("de", 0), ("en", 1), ("en", 600), ("xx", 0)], "lang string, item_no bigint") \
+        .withColumn("layer", F.lit(0))
+    got = {(r["lang"], r["stacked_no"], r["segment"]) for r in rep.stack_languages(df, ("en", "de"), ["layer"]).collect()}
+    assert got == {("de", 601, "de"), ("en", 1, "en"), ("en", 600, "en")}
     labels = {r["item_no"]: r["segment"] for r in rep.segment_by_bucket(df, 100).collect()}
     assert labels == {0: "0-100", 1: "0-100", 600: "600-700"}
 
 
+def test_top_pieces_survive_nan_and_infinite_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    vocab = spark.createDataFrame([(i, f"p{i}") for i in range(3)], "token_id int, piece string")
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0]), (2, [nan, nan, nan]), (3, [0.0, -inf, 1.0])], "k int, logits array<double>")
+    got = {(r["k"], r["rank"]): (r["token_id"], r["percent"]) for r in sampling.top_pieces(df, vocab).collect()}
+    assert got[1, 1] == (2, 66) and got[3, 3] == (1, 0) and got[2, 1][1] is None and len(got) == 9
+
+
 def test_mass_invariants(spark, sf_dir):
     m = lp.metrics(spark, sf_dir)
     eps = 1e-9

@@ -4,6 +4,8 @@ import json
 
 import numpy as np
 import pytest
+import standin
+from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
 from polyprobe.operators import batch, layout
@@ -11,6 +13,9 @@ from polyprobe.plans import catalog, evaluation as ev
 from polyprobe.session import CHECKPOINT_DIR, scratch_path
 from polyprobe.sources import driver_tables as src, files
 
+# Workers do not see the tests folder.
+cloudpickle.register_pickle_by_value(standin)
+
 
 def _plan(df):
     return df._jdf.queryExecution().toString()
@@ -82,17 +87,22 @@ def test_scores_do_not_depend_on_batches(spark, asked):
 
 
 def test_layers_components_and_pooling(spark, asked):
-    layers = batch.layer_latents(asked, src.load_layers, src.WIDTH)
+    layers = batch.layer_latents(asked, standin.load_layers, src.WIDTH)
     assert layers.count() == 23 * src.N_LAYERS
     row = layers.filter("k = 4 AND layer = 3").first()
     assert np.allclose(row["vec"], src._letter_waves("pppppq", 3.0))
-    pooled = batch.pooled_hidden(asked, src.load_hidden, src.WIDTH).filter("k = 4 AND layer = 2").first()
+    pooled = batch.pooled_hidden(asked, standin.load_hidden, src.WIDTH).filter("k = 4 AND layer = 2").first()
     assert np.allclose(pooled["vec"], src._letter_waves("pppppq", 2.0))
-    parts = batch.component_logits(asked, src.load_components, src.COMPONENTS, src.HIDDEN_LAYERS, src.WIDTH)
+    parts = batch.component_logits(asked, standin.load_components, standin.COMPONENTS, src.HIDDEN_LAYERS, src.WIDTH)
     row = parts.filter("k = 4 AND component = 'mlp' AND layer = 1").first()
     assert np.allclose(row["logits"], src._letter_waves("pppppq", 1.75))
 
 
+def test_each_prompt_reaches_the_model_once(spark, sf_dir):
+    plan = catalog.QUERIES["batch_score"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_stored_scores_equal_fresh_ones(spark, asked):
     fresh = batch.score_prompts(asked, src.load_scorer)
     stored = layout.materialize(fresh, "t")
