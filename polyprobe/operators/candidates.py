@@ -62,10 +62,11 @@ def first_token_ids(load: Callable[[], Callable[[str], int | None]]) -> Callable
 
 
 def ids_to_pieces(df: DataFrame, vocab: DataFrame, keys: list[str], ids: str = "token_ids") -> DataFrame:
-    """``pieces`` in the order of ``ids``."""
-    listed = df.select(*keys, F.posexplode(ids).alias("_pos", "token_id")).join(vocab, "token_id")
-    ordered = F.sort_array(F.collect_list(F.struct("_pos", "piece")))
-    return listed.groupBy(*keys).agg(F.transform(ordered, lambda p: p["piece"]).alias("pieces"))
+    """``pieces`` in the order of ``ids``; [] where there are no ids, and unknown ids are left out."""
+    listed = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "token_id")).join(vocab, "token_id", "left")
+    known = F.when(F.col("piece").isNotNull(), F.struct("_pos", "piece"))
+    return listed.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(known)), lambda p: p["piece"]).alias("pieces"))
 
 
 def with_forced_stem(answer_words: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from polyprobe.sources import dimensions as dim, driver_tables as src, files
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-BOOTSTRAP_RESAMPLES = 200
+BOOTSTRAP_RESAMPLES = 9999
 BOOTSTRAP_SEED = 7
 TIE_SEED = 7
 SAMPLE_SEED = 11

@@ -7,6 +7,7 @@ per token or vector entry, with windows and joins where the engine uses arrays.
 from __future__ import annotations
 
 from polyprobe import locales
+from polyprobe.operators import stats
 from polyprobe.plans import catalog, representation as rp
 from polyprobe.plans.evaluation import SEED
 from polyprobe.sources import driver_tables as src
@@ -381,7 +382,10 @@ def oracle_sql() -> dict[str, str]:
     listed = "SELECT c.lang, c.word, coalesce(string_agg(x.token_id::varchar, ',' ORDER BY x.token_id), '') token_ids FROM corpus c LEFT JOIN ({}) x ON x.lang = c.lang AND x.word = c.word GROUP BY c.lang, c.word"
     q["candidate_ids"] = _with([*_BASE, CORPUS], listed.format(plain))
     q["candidate_ids_family"] = _with([*_BASE, CORPUS], listed.format(f"{plain} UNION {extra}"))
-    q["ids_to_pieces"] = _with([*_BASE, CORPUS], f"SELECT lang, word, string_agg(piece, '|' ORDER BY token_id) pieces FROM ({plain}) x JOIN vocab USING (token_id) GROUP BY lang, word")
+    q["ids_to_pieces"] = _with([*_BASE, CORPUS], f"""
+      SELECT c.lang, c.word, coalesce(string_agg(v.piece, '|' ORDER BY x.token_id), '') pieces FROM corpus c
+      LEFT JOIN ({plain}) x ON x.lang = c.lang AND x.word = c.word LEFT JOIN vocab v ON v.token_id = x.token_id
+      GROUP BY c.lang, c.word""")
     q["forced_stem"] = _with(_BASE, f"""
       , relabelled AS (SELECT doc_id, {_mapped('lang', src.STEM_LANG)} lang, item_no, text FROM labelled),
       class_ids AS (SELECT lang, class, class || ':' || string_agg(token_id::varchar, ',' ORDER BY token_id) ids
@@ -468,12 +472,16 @@ def oracle_sql() -> dict[str, str]:
     q["ci_quantile"] = _with(_SCORED, f"""
       SELECT run_id, lang, layer, {r6('quantile_cont(entropy, 0.5)')} y, {r6('quantile_cont(entropy, 0.05)')} y_lower,
         {r6('quantile_cont(entropy, 0.95)')} y_upper FROM {flat} GROUP BY run_id, lang, layer""")
+    p, steps = stats.DRAW_MODULUS, stats.WEIGHT_STEPS
+    first = f"(item_no % {p} * 48271 + b * 69621 + {catalog.BOOTSTRAP_SEED}) % {p}"
+    second = f"(x * x % {p} * 16807 + item_no % {p} * 7919 + b * 104729) % {p}"
+    weight = " + ".join(f"(u > {t!r}::double)::int" for t in steps)
     q["ci_bootstrap"] = _with(_SCORED, f"""
-      , items AS (SELECT run_id, lang, item_no, count(*) OVER (PARTITION BY run_id, lang) n FROM (SELECT DISTINCT run_id, lang, item_no FROM entropies) x),
-      draws AS (
-        SELECT run_id, lang, b, {draw(f"'{catalog.BOOTSTRAP_SEED}'", 'run_id', 'lang', 'b::varchar', 'item_no::varchar')} % n item_no
-        FROM items CROSS JOIN (SELECT unnest(range(0, {catalog.BOOTSTRAP_RESAMPLES})) b) s),
-      means AS (SELECT run_id, lang, layer, b, avg(entropy) m FROM draws JOIN entropies USING (run_id, lang, item_no) GROUP BY ALL),
+      , items AS (SELECT DISTINCT item_no FROM entropies),
+      d1 AS (SELECT item_no, b, {first} x FROM items CROSS JOIN (SELECT unnest(range(0, {catalog.BOOTSTRAP_RESAMPLES})) b) s),
+      d2 AS (SELECT item_no, b, {second} x FROM d1),
+      draws AS (SELECT item_no, b, {weight} w FROM (SELECT item_no, b, (x * x % {p})::double / {p} u FROM d2) t),
+      means AS (SELECT run_id, lang, layer, b, sum(w * entropy) / sum(w) m FROM draws JOIN entropies USING (item_no) WHERE w > 0 GROUP BY ALL),
       bounds AS (SELECT run_id, lang, layer, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM means GROUP BY ALL)
       SELECT run_id, lang, layer::int layer, {r6('avg(entropy)')} y, {r6('any_value(lo)')} y_lower, {r6('any_value(hi)')} y_upper
       FROM entropies JOIN bounds USING (run_id, lang, layer) GROUP BY run_id, lang, layer""")
