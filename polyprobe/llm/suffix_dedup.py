@@ -5,11 +5,10 @@ polynomial hash.  Which position that is depends on the window's bytes alone, so
 equal windows have their anchors at equal places and meet under one key (the
 hash at the anchor).  Only texts with a repeated key are looked at again.  There
 an anchor stands for the suffixes that start at the windows it was chosen for.
-Under each key the suffixes at the anchors are merge-sorted; two are compared by
-binary search over prefix hashes for their common extension, in logarithmic
-time, and by the first byte after it.  Neighbours extended to both sides give
-the repeated windows of a pair; where more than two texts differ around one key,
-windows are classed by hash.  Every match is confirmed byte by byte.
+Two contexts under a key are compared by binary search over prefix hashes for
+their common extension to both sides of the anchor, in logarithmic time.  Where
+more meet, the suffixes of their windows are merge-sorted by prefix hash of the
+length that counts.  Every match is confirmed byte by byte.
 
 Equal texts are one text with a count from the start.  A key under more than
 ``HEAVY`` contexts is not gathered into a task: its windows are counted by
@@ -18,8 +17,6 @@ Equal texts are one text with a count from the start.  A key under more than
 
 from __future__ import annotations
 
-from functools import cmp_to_key
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -123,87 +120,77 @@ def _contexts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
 
 class Suffixes:
-    """Suffixes of joined contexts, compared through prefix hashes."""
+    """Suffixes of joined contexts, compared through prefix hashes, many pairs at a time."""
 
     def __init__(self, bodies: list[bytes]):
-        self.ends = np.cumsum([len(b) for b in bodies])
-        self.begins = self.ends - [len(b) for b in bodies]
-        self.data = np.frombuffer(b"".join(bodies), np.uint8)
-        self.hashes = Hashes.of(self.data)
-
-    def _same(self, a: int, b: int, n: int) -> bool:
-        pair = np.array([a, b])
-        x, y = self.hashes.spans(pair, pair + n)
-        return x == y
-
-    def ahead(self, a: int, b: int, most: int) -> int:
-        """Length of the common extension to the right of positions a and b."""
-        low, high = 0, most
-        while low < high:
+        self.ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
+        self.begins = self.ends - np.array([len(b) for b in bodies], np.int64)
+        self.raw = b"".join(bodies)
+        self.hashes = Hashes.of(np.frombuffer(self.raw, np.uint8))
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+        """Length of the common extension from positions a and b, to the right (step 1) or left (-1), by binary search."""
+        low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
+        while (low < high).any():
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self._same(a, b, mid) else (low, mid - 1)
-        return low
-
-    def behind(self, a: int, b: int, most: int) -> int:
-        low, high = 0, most
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self._same(a - mid, b - mid, mid) else (low, mid - 1)
+            if step > 0:
+                same = self.hashes.spans(a, a + mid) == self.hashes.spans(b, b + mid)
+            else:
+                same = self.hashes.spans(a - mid, a) == self.hashes.spans(b - mid, b)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
     def equal(self, a: int, b: int, n: int) -> bool:
-        return bool((self.data[a: a + n] == self.data[b: b + n]).all())
-
-    def ordered(self, rows: list[int], at: list[int]) -> list[int]:
-        """Rows in the order of their suffixes from ``at``; the sort merges runs."""
-        def compare(i: int, j: int) -> int:
-            most = int(min(self.ends[i] - at[i], self.ends[j] - at[j]))
-            n = self.ahead(at[i], at[j], most)
-            if n == most:
-                return int((self.ends[i] - at[i]) - (self.ends[j] - at[j]))
-            return int(self.data[at[i] + n]) - int(self.data[at[j] + n])
-        return sorted(rows, key=cmp_to_key(compare))
-
-
-def repeated_windows(rels: list[int], bodies: list[bytes], span: int) -> list[np.ndarray]:
-    """For distinct contexts of one key: which window starts of each also occur in another."""
-    out = [np.zeros(len(b) - span + 1, bool) for b in bodies]
-    if len(bodies) < 2:
-        return out
-    text = Suffixes(bodies)
-    at = [int(b) + r for b, r in zip(text.begins, rels)]
-    rows = text.ordered(list(range(len(bodies))), at)
-    if len(rows) == 2:
-        i, j = rows
-        right = text.ahead(at[i], at[j], int(min(text.ends[i] - at[i], text.ends[j] - at[j])))
-        left = text.behind(at[i], at[j], min(rels[i], rels[j]))
-        if left + right >= span and text.equal(at[i] - left, at[j] - left, left + right):
-            for r in (i, j):
-                out[r][rels[r] - left: rels[r] + right - span + 1] = True
-        return out
-    # All windows of the sorted contexts, classed by hash; a member is confirmed against the first of its class.
-    starts = np.concatenate([text.begins[r] + np.arange(len(out[r])) for r in rows])
-    owner = np.repeat(rows, [len(out[r]) for r in rows])
-    hashes = text.hashes.spans(starts, starts + span)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    fresh = np.concatenate([[True], h[1:] != h[:-1]])
-    head = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    later = order != head
-    # Runs of windows that follow each other against the same context are confirmed in one comparison.
-    a, b = starts[order[later]], starts[head[later]]
-    by = np.argsort(a, kind="stable")
-    a, b = a[by], b[by]
-    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)])) if len(a) else []
-    hit = np.zeros(len(text.data), bool)
-    for lo, hi in zip(cut, np.append(cut[1:], len(a)) if len(a) else []):
-        for s, e in ((lo, hi),) if text.equal(a[lo], b[lo], hi - lo - 1 + span) else [(k, k + 1) for k in range(lo, hi)]:
-            if e - s > 1 or text.equal(a[s], b[s], span):
-                hit[a[s:e]] = hit[b[s:e]] = True
-    del owner
-    for r in rows:
-        out[r][:] = hit[text.begins[r]: text.begins[r] + len(out[r])]
-    return out
+        return self.raw[a: a + n] == self.raw[b: b + n]
+
+
+def repeated_windows(groups: list[list[tuple[int, bytes]]], span: int) -> list[np.ndarray]:
+    """For the distinct contexts (place of the anchor, bytes) of each key: which window starts also occur in another.
+
+    The answer lists the contexts of all groups in order.
+    """
+    rels = np.array([rel for g in groups for rel, _ in g], np.int64)
+    text = Suffixes([body for g in groups for _, body in g])
+    key = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    sizes = np.array([len(g) for g in groups], np.int64)
+    first = np.cumsum(sizes) - sizes
+    windows_of = text.ends - text.begins - span + 1
+    hit = np.zeros(len(text.raw) + 1, bool)
+    # Two contexts: their suffixes at the anchors, extended to both sides.
+    i = first[sizes == 2]
+    j = i + 1
+    a, b = text.begins[i] + rels[i], text.begins[j] + rels[j]
+    right = text.common(a, b, np.minimum(text.ends[i] - a, text.ends[j] - b), 1)
+    left = text.common(a, b, np.minimum(rels[i], rels[j]), -1)
+    long = left + right >= span
+    for x, y, n in zip((a - left)[long].tolist(), (b - left)[long].tolist(), (left + right)[long].tolist()):
+        if text.equal(x, y, n):
+            hit[x: x + n - span + 1] = hit[y: y + n - span + 1] = True
+    # More: the suffixes of all their windows are merge-sorted by key and hash, and each is confirmed against the first
+    # of its class.
+    rows = np.flatnonzero(sizes[key] > 2) if len(key) else np.zeros(0, np.int64)
+    n = windows_of[rows]
+    at = np.repeat(text.begins[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    of, h = np.repeat(key[rows], n), text.hashes.spans(at, at + span)
+    order = np.lexsort((h, of))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
+    head = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
+    later = ~fresh
+    x, y = at[order[later]], at[head[later]]
+    by = np.argsort(x, kind="stable")
+    x, y = x[by], y[by]
+    # Windows that follow each other against the same context are confirmed in one comparison.
+    cut = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)]))
+    for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(x)).tolist()):
+        c, d, m = int(x[lo]), int(y[lo]), hi - lo
+        if text.equal(c, d, m - 1 + span):
+            hit[c: c + m] = hit[d: d + m] = True
+        else:
+            for k in range(m):
+                if text.equal(c + k, d + k, span):
+                    hit[c + k] = hit[d + k] = True
+    return [hit[s: s + k] for s, k in zip(text.begins.tolist(), windows_of.tolist())]
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,34 +202,45 @@ def _light(contexts: DataFrame, span: int) -> DataFrame:
     """Repeated window starts (tid, lo, hi) under keys whose contexts fit into a task."""
     schema = pa.schema([("tid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
-    def closed(group: list[tuple]):
+    def closed(rows: list[tuple]):
         distinct: dict[tuple, list[tuple]] = {}
-        for _, tid, rel, starts, copies, body in group:
-            distinct.setdefault((rel, body), []).append((tid, starts, copies))
-        kinds = list(distinct)
+        for key, tid, rel, starts, copies, body in rows:
+            distinct.setdefault((key, rel, body), []).append((tid, starts, copies))
+        groups: dict[int, list[tuple[int, bytes]]] = {}
+        for key, rel, body in distinct:
+            groups.setdefault(key, []).append((rel, body))
+        shared = {k: g for k, g in groups.items() if len(g) > 1}
+        found = iter(repeated_windows(list(shared.values()), span))
         tids, los, his = [], [], []
-        for kind, flags in zip(kinds, repeated_windows([k[0] for k in kinds], [k[1] for k in kinds], span)):
-            owners = distinct[kind]
-            if len(owners) > 1 or len(owners[0][1]) > 1 or owners[0][2] > 1:
-                flags[:] = True
-            lo, hi = _runs(flags)
-            for tid, starts, _ in owners:
-                for s in starts:
-                    tids += [tid] * len(lo)
-                    los += (lo + s).tolist()
-                    his += (hi + s).tolist()
+        for key, own in groups.items():
+            for rel, body in own:
+                flags = next(found) if key in shared else None
+                owners = distinct[key, rel, body]
+                if len(owners) > 1 or len(owners[0][1]) > 1 or owners[0][2] > 1:
+                    runs = ((0, len(body) - span),)
+                elif flags is None or not flags.any():
+                    continue
+                else:
+                    runs = tuple(zip(*(e.tolist() for e in _runs(flags))))
+                for tid, starts, _ in owners:
+                    for start in starts:
+                        for lo, hi in runs:
+                            tids.append(tid)
+                            los.append(start + lo)
+                            his.append(start + hi)
         return batch_of(schema, tid=tids, lo=los, hi=his)
 
     def run(batches):
-        group: list[tuple] = []
+        # Whole keys, several thousand rows at a time.
+        rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[0] != group[0][0]:
-                    yield closed(group)
-                    group = []
-                group.append(row)
-        if group:
-            yield closed(group)
+                if len(rows) >= 4096 and row[0] != rows[-1][0]:
+                    yield closed(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield closed(rows)
 
     return contexts.repartition("key").sortWithinPartitions("key") \
         .select("key", "tid", "rel", "starts", "copies", "body") \

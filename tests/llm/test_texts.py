@@ -118,12 +118,11 @@ def test_repeated_bytes_however_contexts_are_gathered(spark, heavy):
     assert got == dict(enumerate(_repeats(texts, 200)))
 
 
-def test_suffix_order_and_extensions():
+def test_common_extensions():
     text = suffix_dedup.Suffixes([b"banana-ban", b"bandana", b"banana"])
-    at = [int(b) for b in text.begins]
-    assert text.ordered([0, 1, 2], at) == [2, 0, 1]
-    assert text.ahead(at[0], at[2], 6) == 6 and text.ahead(at[0], at[1], 7) == 3
-    assert text.behind(at[0] + 6, at[2] + 6, 6) == 6
+    a, b = text.begins[[0, 0]], text.begins[[2, 1]]
+    assert text.common(a, b, np.array([6, 7]), 1).tolist() == [6, 3]
+    assert text.common(a + 6, b + 6, np.array([6, 6]), -1).tolist() == [6, 0]
 
 
 def _plain_counts(text):
