@@ -236,13 +236,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           F.col("l").alias("lb")), "b") \
         .where((F.col("la") != F.col("lb")) & possible(F.least("fa", "fb") + F.col("rare"), "na", "nb")).select("a", "b")
     for hubs_each in (16 ** k for k in range(1, 16)):
-        hubs = rest.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("rep"))) \
+        # A pair that shares several open buckets is offered in the one with the smallest key.
+        placed = stored(rest.join(rest.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep"), "open")
+        hubs = placed.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("rep"))) \
             .where(F.col("at") <= hubs_each) \
             .select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"),
-                    F.col("frequent").alias("fa"))
-        offered = hubs.join(rest, "key").where(
+                    F.col("frequent").alias("fa"), F.col("keys").alias("ka"))
+        offered = hubs.join(placed, "key").where(
             (F.col("rep") > F.col("a")) & (F.col("label") != F.col("la"))
-            & possible(F.least("fa", "frequent"), "na", "n_shingles"))
+            & possible(F.least("fa", "frequent"), "na", "n_shingles")
+            & (F.array_min(F.array_intersect("ka", "keys")) == F.col("key")))
         offered = offered.select("a", F.col("rep").alias("b"))
         if by_rare is not None:
             offered, by_rare = offered.unionByName(by_rare), None
@@ -261,10 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release(spark)
         if rest.isEmpty():
             break
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     # An id that repeats with different texts joins their components.
     out = all_sets.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    return out.join(placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left") \
+    return out.join(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left") \
         .withColumn("component_id", F.coalesce("component_id", "doc_id")) \
         .withColumn("kept", F.col("component_id") == F.col("doc_id"))
