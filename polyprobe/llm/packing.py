@@ -16,6 +16,7 @@ places its own pieces by rank.
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from functools import lru_cache
 
@@ -50,6 +51,8 @@ class WordCoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # Whole words, and words without the punctuation after them.
+        self.whole: dict[bytes, bytes] = {}
         self.cache: dict[bytes, bytes] = {}
         # Printable bytes stand for themselves in a byte-level vocabulary, the others for characters from U+0100 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -57,6 +60,8 @@ class WordCoder:
         self.letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
     def _encode(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # plain ASCII letters stand for themselves
+            return self._packed([token.id for token in self.model.tokenize(word.decode())])
         text = word.decode()
         if text.isalpha() and all(c < "ƀ" and c not in "İŉſ" for c in text):
             # Letters of one kind are one unit for the merges; composed Latin letters are already normal.
@@ -64,7 +69,11 @@ class WordCoder:
             ids = [token.id for token in self.model.tokenize(units)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return self._packed(ids)
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _known(self, word: bytes) -> bytes:
         found = self.cache.get(word)
@@ -76,6 +85,14 @@ class WordCoder:
 
     def code(self, word: bytes) -> bytes:
         """Little-endian 32-bit ids of a word without blanks."""
+        found = self.whole.get(word)
+        if found is None:
+            if len(self.whole) >= CACHE_WORDS:
+                self.whole.clear()
+            found = self.whole[word] = self._code(word)
+        return found
+
+    def _code(self, word: bytes) -> bytes:
         if b"<|" in word:  # may hold the name of a special token
             return self._known(word)
         body = word.rstrip(_TAIL)
