@@ -119,8 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
                            f=[own.astype(np.uint32).tobytes() for own in features(batch.column(2))])
 
     def learn(batches):
+        # A few kilobytes for each of a bounded number of rows, kept packed.
         rows = sorted((i, y, f) for batch in batches for i, y, f in zip(*(c.to_pylist() for c in batch.columns)))
-        model = fit([(np.frombuffer(f, np.uint32).astype(np.int64), y) for _, y, f in rows])
+        del batches
+        model = fit([(np.frombuffer(f, np.uint32), y) for _, y, f in rows])
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()),
                                           pa.array([model.intercept])], names=["weights", "intercept"])
 
