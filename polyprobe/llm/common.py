@@ -9,6 +9,7 @@ hashed by a handful of vector operations and no Python runs per word.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -39,10 +40,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps.
 
     Spark deletes them when the driver collects the objects that stand for
-    them.  Called between steps whose results are stored.
+    them, which takes a second round once Python has let go of its side.
+    Called between steps whose results are stored.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

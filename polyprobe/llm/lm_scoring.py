@@ -123,17 +123,20 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
         if k == 1:
             counts = stored(counts, "unigrams")
             total = counts.agg(F.sum("c")).first()[0] or 1
+            release(spark)
             grams = counts.select(F.col("prefix").alias("h"), "c",
                                   F.log(F.greatest(F.col("c") - 1, F.lit(UNSEEN)) / total).alias("s"))
             terms = grams.select("h", F.col("s").alias("term"))
         else:
-            again = _with_hash(stored(counts.where("c > 1"), "ngrams"))
+            again = stored(counts.where("c > 1"), "ngrams")
             release(spark)
+            again = _with_hash(again)
             # What occurs again has a prefix and a suffix that do too.
             known = again.join(lower.select(F.col("h").alias("prefix"), F.col("c").alias("cp")), "prefix") \
                 .join(lower.select(F.col("h").alias("suffix"), F.col("s").alias("below")), "suffix")
             grams = stored(known.select("h", "c", F.log((F.col("c") - 1) / (F.col("cp") - 1)).alias("s"), "below"),
                            "scores")
+            del counts, again, known
             release(spark)
             terms = grams.select("h", (F.col("s") - log_b - F.col("below")).alias("term"))
         lower = grams
@@ -141,6 +144,7 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
         per_doc = _per_document(rows, k).join(terms.hint("shuffle_hash"), "h") \
             .groupBy("doc_id").agg(F.sum(F.col("n") * F.col("term")).alias("part"), F.sum("n").alias("n"))
         sums.append(stored(per_doc.select("doc_id", "part", F.lit(k).alias("k"), "n"), f"sums{k}"))
+        del per_doc
         release(spark)
     every = sums[0]
     for more in sums[1:]:
