@@ -203,3 +203,32 @@ def test_cotrained_quality(spark):
     sf_dir = "/root/testdata/sf0.01"
     out = QUERIES["op9_cotrained_quality"](spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").toPandas()
     assert (out.kept == (out.quality == 1)).mean() > 0.95
+
+
+def _extracted(spark, pages):
+    rows = [(i, f"http://h.example/{i}", page) for i, page in enumerate(pages)]
+    out = extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in out}
+
+
+def test_template_text_inside_an_article_goes(spark):
+    page = ("<body><nav>Home</nav><article><h1>Title {0}</h1><p>Text {0} of {0}, some more of it.</p><div class=x>Pass it on</div>"
+            "<article class=comment><p>Reader {0} says</p></article><div class=y>Read also</div></article>"
+            "<div class=z>All rights</div></body>")
+    got = _extracted(spark, [page.format(i) for i in range(20)])
+    assert got == {i: f"Title {i}\nText {i} of {i}, some more of it." for i in range(20)}
+
+
+def test_two_layouts_on_one_host(spark):
+    layouts = ("<body><div class=top>Great site</div><div id=c><p>Text {0} of {0}.</p><p>More {0}</p></div>"
+               "<div class=low>All rights</div></body>",
+               "<body><table class=head><tr><td>Picture of the day</td></tr></table><div id=photo><p>View {0}, seen from {0}</p>"
+               "<div class=hint>Click to enlarge</div></div></body>")
+    got = _extracted(spark, [layouts[i % 2].format(i) for i in range(40)])
+    assert got == {i: f"View {i}, seen from {i}" if i % 2 else f"Text {i} of {i}.\nMore {i}" for i in range(40)}
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    page = "<body><div id=c><p>Text {0}.</p><p>More {0}</p><p>And {0}</p></div></body>"
+    got = _extracted(spark, [page.format(7 if i % 2 else i) for i in range(40)])
+    assert all(got[i] == "Text 7.\nMore 7\nAnd 7" for i in range(1, 40, 2))
