@@ -6,7 +6,11 @@ Windows of the benchmark's templates are hash-joined with those of the
 documents; a hit carries the words that filled the placeholders.  Along one
 alignment of a document with an item the fillers must map onto each other one
 to one, so a re-parameterised question passes and a chance meeting of
-placeholders does not.  An item is found if such windows cover enough of it.
+placeholders does not.  Shorter windows of the words themselves, placeholders
+or not, are joined beside them: they find what lies between two edits, and
+items that are all names and numbers.  A word of an item is covered if any
+window with it is hit, and an item is found if enough of its words are, or a
+long run of them.
 """
 
 from __future__ import annotations
@@ -23,6 +27,12 @@ WINDOW = 8
 #: A window needs this many words that are no placeholders.
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.5
+#: Words of a window that must be met as they are (but for case and outer punctuation).
+VERBATIM = 5
+#: An item is also found by a run of so many words met as they are, however long the item is.
+LONG_RUN = 13
+#: Shorter windows count together if edits have shifted them by up to this many words against each other.
+DRIFT = 16
 #: Benchmark windows up to which their hashes travel to the scan as a filter; beyond, all windows are shuffled.
 FILTER_LIMIT = 4_000_000
 
@@ -92,11 +102,13 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def template_windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int],
-                     known: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+                     known: np.ndarray | None = None, whole: bool = False, plain: bool = False) -> DataFrame:
     """Windows of each text: id, size, hash, at (first word) and slots (plain hashes of placeholder words).
 
     With ``known`` only windows of those hashes.  With ``whole`` a text has
-    windows of the largest size, or is one window if it is shorter.
+    windows of the largest size, or is one window if it is shorter.  With
+    ``plain`` windows are of the words themselves: they have no slots, any
+    words will do, and their hashes differ from those of templates.
     """
     schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("size", pa.int64()),
                         ("slots", pa.list_(pa.int64()))])
@@ -108,14 +120,16 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[in
             for part in slices(batch.column(1)):
                 got = template(part)
                 length = np.diff(got.first)
-                literal = np.concatenate([[0], np.cumsum(~got.slot)])
+                slot = np.zeros(len(got.slot), bool) if plain else got.slot
+                hashes = mixed(got.plain + np.uint64(1)) if plain else got.hash
+                literal = np.concatenate([[0], np.cumsum(~slot)])
                 for size in sizes:
                     n = len(got.hash) - size + 1
                     if n <= 0:
                         continue
                     total = np.full(n, size, np.uint64)
                     for k in range(size):
-                        total = mixed(total + got.hash[k: n + k])
+                        total = mixed(total + hashes[k: n + k])
                     at = np.arange(n)
                     row = np.searchsorted(got.first, at, "right") - 1
                     ok = at + size <= got.first[row + 1]
@@ -125,7 +139,7 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[in
                     if wanted is not None:
                         ok[ok] = np.isin(total[ok], wanted)
                     at, row, total = at[ok], row[ok], total[ok]
-                    slots = [signed(got.plain[a: a + size][got.slot[a: a + size]]) for a in at.tolist()]
+                    slots = [signed(got.plain[a: a + size][slot[a: a + size]]) for a in at.tolist()]
                     yield batch_of(schema, id=batch.column(0).take(pa.array(part.first + row)), hash=signed(total),
                                    at=at - got.first[row], size=np.full(len(at), size), slots=slots)
 
@@ -133,45 +147,84 @@ def template_windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[in
         .mapInArrow(run, "id bigint, hash bigint, at bigint, size bigint, slots array<bigint>")
 
 
+def _both(parts) -> DataFrame:
+    first, second = parts
+    return first.unionByName(second)
+
+
+def _lengths(batches):
+    """Words of each text."""
+    schema = pa.schema([("item_id", pa.int64()), ("of", pa.int64())])
+    for batch in batches:
+        of = [np.diff(words(part).first) for part in slices(batch.column(1))]
+        yield batch_of(schema, item_id=batch.column(0), of=np.concatenate([np.zeros(0, np.int64), *of]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
           min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Pairs (doc_id, item_id) of a document and an item it contains, with n_windows, coverage and exact.
 
-    ``coverage`` is the share of the item's windows found in consistent
-    alignments, ``exact`` says that all placeholders there are filled alike.
-    Items shorter than a window are looked for as a whole; items without
-    enough plain words (null and empty ones too) have no windows and are never
-    found.  Null and empty documents contain nothing; rows with a null id are
-    left out; repeated rows count once; other columns are ignored; an empty
-    table on either side gives an empty result.
+    ``n_windows`` counts the item's places at which a window is found in
+    consistent alignments, ``coverage`` is the share of the item's words in such windows,
+    ``exact`` says that all placeholders there are filled alike.  A pair counts
+    if ``min_coverage`` of the words are covered, or ``LONG_RUN`` words in a
+    row are met as they are.  Items shorter than a window are looked for as a whole; items without
+    words (null and empty ones too) have no windows and are never found.  Null
+    and empty documents contain nothing; rows with a null id are left out;
+    repeated rows count once; other columns are ignored; an empty table on
+    either side gives an empty result.
     """
-    sizes = list(range(1, window + 1))
-    items = stored(template_windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, sizes,
-                                    whole=True).distinct(), "items")
+    named = benchmark.where(F.col(item_col).isNotNull())
+    kinds = ((window, False), (min(VERBATIM, window), True))
+    items = stored(_both(template_windows(named, item_col, item_text_col, list(range(1, size + 1)), whole=True, plain=plain)
+                         .withColumn("plain", F.lit(plain)) for size, plain in kinds).distinct(), "items")
     # Sizes below the window exist only for short items.
-    used = sorted(r["size"] for r in items.select("size").distinct().collect())
-    if not used:
-        used = [window]
+    used = {plain: [size] for size, plain in kinds}
+    for r in items.groupBy("plain").agg(F.sort_array(F.collect_set("size")).alias("sizes")).collect():
+        used[r["plain"]] = r["sizes"]
     n = items.select("hash").distinct().count()
     known = None
     if n <= FILTER_LIMIT:
         known = np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)
-    hits = template_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, used, known)
+    own = docs.where(F.col(id_col).isNotNull())
+    hits = _both(template_windows(own, id_col, text_col, used[plain], known, plain=plain) for _, plain in kinds)
     pairs = hits.join(items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "size",
                                    F.col("slots").alias("item_slots")), ["hash", "size"])
     pairs = pairs.where(F.size("slots") == F.size("item_slots")) \
         .withColumn("fill", F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
     # One alignment holds at most the windows of one item.
     lines = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("shift")) \
-        .agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
+        .agg(F.collect_set(F.struct("item_at", "size", "fill")).alias("found"),
+             F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
     fill = F.col("fill")
     one_to_one = (F.size(F.array_distinct(F.transform(fill, lambda p: p["i"]))) == F.size(fill)) \
         & (F.size(F.array_distinct(F.transform(fill, lambda p: p["d"]))) == F.size(fill))
     lines = lines.where(one_to_one).withColumn("exact", F.forall(fill, lambda p: p["i"] == p["d"]))
-    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("of"))
-    return lines.select("doc_id", "item_id", "exact", F.explode("found").alias("item_at")) \
-        .groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.min("exact").alias("exact")) \
-        .join(total, "item_id").withColumn("coverage", F.col("n_windows") / F.col("of")) \
-        .where(F.col("coverage") >= min_coverage) \
+    total = named.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text")) \
+        .mapInArrow(_lengths, "item_id bigint, of bigint").groupBy("item_id").agg(F.max("of").alias("of"))
+    def covered(found):
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(
+            found, lambda w: F.sequence(w["item_at"], w["item_at"] + w["size"] - 1)))))
+
+    as_is = covered(F.filter("found", lambda w: (F.size(w["fill"]) == 0) & (w["size"] <= VERBATIM)))
+    run = F.exists(F.sequence(F.lit(1), F.size("as_is") - LONG_RUN + 1),
+                   lambda k: F.element_at("as_is", k + LONG_RUN - 1) - F.element_at("as_is", k) == LONG_RUN - 1)
+    lines = lines.where(F.size("found") > 0).withColumn("as_is", as_is) \
+        .withColumn("run", F.when(F.size("as_is") >= LONG_RUN, run).otherwise(False))
+    # Template windows count together wherever they lie, all windows count together in overlapping bands of shifts.
+    bands = [F.struct(F.lit(k).alias("kind"), F.floor((F.col("shift") + k * DRIFT) / (2 * DRIFT)).alias("band"))
+             for k in (0, 1)]
+    far = F.struct(F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("band"))
+    lines = lines.withColumn("band", F.explode(F.array(*bands, far))).withColumn(
+        "found", F.filter("found", lambda w: (F.col("band")["kind"] < 2) | (w["size"] > VERBATIM)))
+    ats = F.array_distinct(F.flatten(F.collect_set(F.transform("found", lambda w: w["item_at"]))))
+    found = lines.withColumn("words", covered("found")).groupBy("doc_id", "item_id", "band").agg(
+        F.size(ats).cast("bigint").alias("n_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("covered"),
+        F.min("exact").alias("exact"), F.max("run").alias("run")).groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("covered").alias("covered"), F.min("exact").alias("exact"),
+        F.max("run").alias("run"))
+    return found.join(total, "item_id").withColumn("coverage", F.col("covered") / F.col("of")) \
+        .where((F.col("coverage") >= min_coverage) | F.col("run")) \
         .select("doc_id", "item_id", "n_windows", "coverage", "exact")

@@ -232,3 +232,26 @@ def test_copies_of_one_page_are_no_template(spark):
     page = "<body><div id=c><p>Text {0}.</p><p>More {0}</p><p>And {0}</p></div></body>"
     got = _extracted(spark, [page.format(7 if i % 2 else i) for i in range(40)])
     assert all(got[i] == "Text 7.\nMore 7\nAnd 7" for i in range(1, 40, 2))
+
+
+def _leaked(spark, texts, items):
+    frames = [spark.createDataFrame(list(enumerate(x)), f"{k} bigint, text string") for k, x in (("doc_id", texts), ("item_id", items))]
+    return {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(*frames).collect()}
+
+
+def test_edited_copies_and_parts_of_items(spark, sf_dir):
+    items = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").collect()]
+    long = " ".join(f"word{k}" for k in range(80))
+    texts = []
+    for text in items:
+        w = text.split()
+        one, two, moved = list(w), list(w), list(w)
+        one[len(w) // 2] = two[len(w) // 3] = two[2 * len(w) // 3] = "changed"
+        moved[len(w) // 2: len(w) // 2] = ["and", "more"]
+        texts += [" ".join(x) for x in (one, two, moved)]
+    n = len(items)
+    short = ["Who wrote Pride and Prejudice?", "12 + 30 = 42", "Berlin Paris London Rome Madrid Vienna Prague Oslo Athens"]
+    texts += ["So. " + short[0] + " She", "x " + short[1], "y " + short[2], "before " + " ".join(long.split()[20:40]) + " after",
+              "before " + " ".join(long.split()[20:28]) + " after", "Who wrote War and Peace? 12 + 31 = 43"]
+    got = _leaked(spark, texts, [*items, *short, long])
+    assert got == {(3 * k + j, k) for k in range(n) for j in range(3)} | {(3 * n + k, n + k) for k in range(4)}
