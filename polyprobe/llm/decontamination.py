@@ -4,9 +4,11 @@ Words become canonical: case and outer punctuation go, and numbers, names
 (capitalised words inside a sentence) and units become typed placeholders.
 Windows of the benchmark's templates are hash-joined with those of the
 documents; a hit carries the words that filled the placeholders.  Along one
-alignment of a document with an item the fillers must map onto each other one
-to one, so a re-parameterised question passes and a chance meeting of
-placeholders does not.  Shorter windows of the words themselves, placeholders
+alignment of a document with an item each filler of the item must map to one
+filler of the document, so a re-parameterised question passes and a chance
+meeting of placeholders does not.  Windows with a filler that maps to several
+are dropped; where many fillers do, only windows filled alike are kept.  Windows
+without placeholders always count.  Shorter windows of the words themselves, placeholders
 or not, are joined beside them: they find what lies between two edits, and
 items that are all names and numbers.  A word of an item is covered if any
 window with it is hit, and an item is found if enough of its words are, or a
@@ -27,6 +29,8 @@ WINDOW = 8
 #: A window needs this many words that are no placeholders.
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.5
+#: Changed fillers of an alignment are believed if at most this share of them maps to several fillers.
+MAX_CONFLICTS = 0.1
 #: Words of a window that must be met as they are (but for case and outer punctuation).
 VERBATIM = 5
 #: An item is also found by a run of so many words met as they are, however long the item is.
@@ -167,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     ``n_windows`` counts the item's places at which a window is found in
     consistent alignments, ``coverage`` is the share of the item's words in such windows,
-    ``exact`` says that all placeholders there are filled alike.  A pair counts
+    ``exact`` says that all placeholders in the alignments are filled alike.  A pair counts
     if ``min_coverage`` of the words are covered, or ``LONG_RUN`` words in a
     row are met as they are.  Items shorter than a window are looked for as a whole; items without
     words (null and empty ones too) have no windows and are never found.  Null
@@ -197,10 +201,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     lines = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("shift")) \
         .agg(F.collect_set(F.struct("item_at", "size", "fill")).alias("found"),
              F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
-    fill = F.col("fill")
-    one_to_one = (F.size(F.array_distinct(F.transform(fill, lambda p: p["i"]))) == F.size(fill)) \
-        & (F.size(F.array_distinct(F.transform(fill, lambda p: p["d"]))) == F.size(fill))
-    lines = lines.where(one_to_one).withColumn("exact", F.forall(fill, lambda p: p["i"] == p["d"]))
+    values = F.map_from_entries(F.transform(
+        F.array_distinct(F.transform("fill", lambda p: p["i"])),
+        lambda i: F.struct(i, F.transform(F.filter("fill", lambda p: p["i"] == i), lambda p: p["d"]))))
+    lines = lines.withColumn("values", values) \
+        .withColumn("clash", F.map_keys(F.map_filter("values", lambda i, ds: F.size(ds) > 1))) \
+        .withColumn("changed", F.size(F.map_keys(F.map_filter("values", lambda i, ds: F.exists(ds, lambda d: d != i))))) \
+        .withColumn("believed", F.size("clash") <= MAX_CONFLICTS * F.col("changed"))
+    lines = lines.withColumn("found", F.filter("found", lambda w: F.forall(w["fill"], lambda p: p["i"] == p["d"]) | (
+        F.col("believed") & F.forall(w["fill"], lambda p: ~F.array_contains(F.col("clash"), p["i"]))))) \
+        .withColumn("exact", F.forall("fill", lambda p: p["i"] == p["d"]))
     total = named.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text")) \
         .mapInArrow(_lengths, "item_id bigint, of bigint").groupBy("item_id").agg(F.max("of").alias("of"))
     def covered(found):

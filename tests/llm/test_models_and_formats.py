@@ -255,3 +255,12 @@ def test_edited_copies_and_parts_of_items(spark, sf_dir):
               "before " + " ".join(long.split()[20:28]) + " after", "Who wrote War and Peace? 12 + 31 = 43"]
     got = _leaked(spark, texts, [*items, *short, long])
     assert got == {(3 * k + j, k) for k in range(n) for j in range(3)} | {(3 * n + k, n + k) for k in range(4)}
+
+
+def test_fillers_map_as_a_function_and_a_conflict_drops_its_windows_only(spark):
+    sums = "if you take {0} from the pile and then put {1} back on it, what is left after that for the others to take home"
+    noun = "wir sehen den {0} am alten Ufer und rufen dem {1} noch lange nach weil er so schnell ist und weil man den {2} nicht fangen kann"
+    items = [sums.format(3, 4), sums.format(3, 3), noun.format("Hund", "Hund", "Hund")]
+    texts = [sums.format(5, 5), sums.format(3, 4), noun.format("Hund", "Vogel", "Hund")]
+    got = _leaked(spark, texts, items)
+    assert {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)} <= got and {i for d, i in got if d == 2} == {2}
