@@ -26,7 +26,10 @@ from polyprobe.llm.textstats import with_counts
 VECTOR = ("x1", "x2", "x3", "x4")
 #: Spread below which a difference in a statistic says nothing about quality.  It is added to the estimated spread, so
 #: a group in which a statistic never varies (its covariance is singular) still measures distances.
-RESOLUTION = (0.06, 0.04, 0.2, 0.2)
+RESOLUTION = (0.06, 0.04, 0.05, 0.05)
+#: Sampling noise of x3 and x4 in a text: the root of a share among n has variance 1 / 4n, and words repeat by threes.
+#: It is added for each document by its own lines and words.
+NOISE = (("v3", "n_lines", 0.25), ("v4", "n_words", 0.75))
 #: Share of a group in the subset of smallest determinant, and chance that a regular document is rejected.
 SUBSET = 0.75
 TAIL = 1e-4
@@ -67,7 +70,8 @@ def transformed(counts: DataFrame) -> DataFrame:
     return counts.withColumns({
         "x1": F.log(F.greatest(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), F.lit(1.0))),
         "x2": share("n_symbols", "word_chars"), "x3": share("n_dup_lines", "n_lines"),
-        "x4": share("n_repeat_words", "n_words")})
+        "x4": share("n_repeat_words", "n_words"),
+        **{v: F.lit(scale) / F.greatest(F.col(n), F.lit(1)) for v, n, scale in NOISE}})
 
 
 def _median_start(rows: DataFrame) -> DataFrame:
@@ -87,11 +91,18 @@ def _median_start(rows: DataFrame) -> DataFrame:
                          F.array(*[F.lit(v) for v in start]).alias("precision"))
 
 
-def distance(centre: Column, precision: Column) -> Column:
-    """Squared Mahalanobis distance of the row's statistic vector."""
+def distance(centre: Column, precision: Column, noise: bool = True) -> Column:
+    """Squared Mahalanobis distance of the row's statistic vector; ``noise`` adds the row's v3 and v4 to the spread."""
     d = [F.col(x) - centre[i] for i, x in enumerate(VECTOR)]
     k = len(VECTOR)
-    return sum((d[i] * d[j] * precision[i * k + j] * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
+    plain = sum((d[i] * d[j] * precision[i * k + j] * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
+    if not noise:
+        return plain
+    # The inverse of the spread with more on two diagonal places (Woodbury).
+    u, v = (sum((precision[i * k + j] * d[j] for j in range(k)), F.lit(0.0)) for i in (2, 3))
+    a, b = 1 / F.col("v3") + precision[2 * k + 2], 1 / F.col("v4") + precision[3 * k + 3]
+    c = precision[2 * k + 3]
+    return plain - (u * u * b - 2 * u * v * c + v * v * a) / (a * b - c * c)
 
 
 def _estimates(sums: DataFrame, factor: float) -> DataFrame:
@@ -116,7 +127,8 @@ def _estimates(sums: DataFrame, factor: float) -> DataFrame:
 
 def _step(rows: DataFrame, estimate: DataFrame, within: float | None) -> DataFrame:
     """Next estimate: from the central ``SUBSET`` of each group, or from all rows within a distance."""
-    away = rows.join(estimate.drop("n"), "g").withColumn("d", distance(F.col("centre"), F.col("precision")))
+    away = rows.join(estimate.drop("n"), "g").withColumn(
+        "d", distance(F.col("centre"), F.col("precision"), "v3" in rows.columns))
     moments = [F.sum(F.col(x)).alias(f"s{i}") for i, x in enumerate(VECTOR)] + \
         [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS]
     if within is not None:
@@ -166,7 +178,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 .otherwise(F.lit("all")).alias("g"))
     groups = stored(groups, "groups")
     # A borrowed estimate rests on all rows of the language or table, not only on the small groups.
-    levels = sound.select(F.explode(F.array("own", "lang", F.lit("all"))).alias("g"), *VECTOR) \
+    levels = sound.select(F.explode(F.array("own", "lang", F.lit("all"))).alias("g"), *VECTOR, "v3", "v4") \
         .join(groups.select("g").distinct(), "g", "left_semi")
     estimates = robust_estimates(stored(levels, "vectors"))
     judged = rows.join(groups, "own", "left").join(estimates.drop("n"), "g", "left") \

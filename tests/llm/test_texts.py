@@ -192,3 +192,21 @@ def test_backoff_scores(spark, order):
         want[d] += sum(word(tuple(w[max(0, i - order + 1): i + 1])) for i in range(len(w)))
     got = lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), order).collect()
     assert {r["doc_id"]: round(r["log_score"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_repeated_lines_are_outliers_of_a_clean_group(spark):
+    """Clean texts of 40 lines, some with one repeated line, and planted ones of which three quarters of the lines repeat."""
+    draw = random.Random(8)
+
+    def lines(n):
+        return [" ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(6)) for _ in range(n)]
+
+    clean = [lines(40) for _ in range(200)]
+    for own in clean[:20]:
+        own[1] = own[0]
+    # One word a line, drawn from eight, so few words lie in repeated windows.
+    common = [x.split()[0] for x in lines(8)]
+    planted = [[x for own in lines(30) for x in (own, *draw.choices(common, k=4))] for _ in range(10)]
+    rows = [(i, "\n".join(x), "en", "s") for i, x in enumerate(clean + planted)]
+    out = quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in out if r["kept"]} == set(range(200))
