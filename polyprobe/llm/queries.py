@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import decontamination, extraction, lm_scoring, neardup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from polyprobe.llm import decontamination, extraction, lm_scoring, neardup, packing, piece_coding, pii, quality_classifier, quality_rules, suffix_dedup, token_alignment, toxicity
 from polyprobe.llm.common import table
 
 
@@ -68,6 +68,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    # The written groups are as long as the texts; only their digest is kept.
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    found = token_alignment.with_link_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_coding.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -79,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_cotrained_quality": op9_cotrained_quality,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_piece_coding": op13_piece_coding,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_lm_scoring": lm_scoring.ORACLE_SQL}
