@@ -15,7 +15,7 @@ from polyprobe.operators import (
 )
 from polyprobe.plans import evaluation as ev, lens as lp, representation as rp
 from polyprobe.session import scratch_path
-from polyprobe.sources import dimensions as dim, driver_tables as src, files
+from polyprobe.sources import dimensions as dim, driver_tables as src, files, json_arrays
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,48 @@ def sink_json_roundtrip(spark, sf_dir):
     return files.read_json(spark, path, T.StructType(items.schema.fields)).select(*items.columns)
 
 
+ARRAY_RANGE_BYTES = 1 << 20
+
+
+def _eval_arrays(spark, sf_dir, sets):
+    """Evaluation sets written as JSON arrays, one file per task and language."""
+    path = scratch_path(spark, "eval-arrays")
+    for task, build in sets.items():
+        files.write_eval_arrays(build(spark, sf_dir), path, task)
+    return path
+
+
+@query
+def scan_eval_arrays(spark, sf_dir):
+    """All three kinds of sets from JSON arrays, large files read by many tasks."""
+    path = _eval_arrays(spark, sf_dir, {"sentiment": src.eval_single, "nli": src.eval_nli, "pair": src.eval_pair})
+    every = json_arrays.read_json_arrays(spark, path, range_bytes=ARRAY_RANGE_BYTES)
+    fields = {"input": "string", "premise": "string", "hypothesis": "string", "sentence1": "string",
+              "sentence2": "string", "answer": "string"}
+    item = F.from_json("value", ", ".join(f"{n} {t}" for n, t in fields.items()))
+    return every.select("task", "lang", "item_no", item.alias("item")).select("task", "lang", "item_no", "item.*")
+
+
+@query
+def scan_lang_arrays(spark, sf_dir):
+    """Two languages of the sentiment sets; the other files are never planned."""
+    path = _eval_arrays(spark, sf_dir, {"sentiment": src.eval_single})
+    every = files.read_eval_arrays(spark, path, "sentiment", range_bytes=ARRAY_RANGE_BYTES)
+    return every.filter(F.col("lang").isin("en", "fr"))
+
+
+@query
+def sink_json_document(spark, sf_dir):
+    """Outcomes of every run as one JSON document each, read back."""
+    path = scratch_path(spark, "outcomes")
+    columns = ["run_id", "lang", "item_no", "answer", "pred_word", "correct"]
+    told = match_native(spark, sf_dir).withColumn("document", F.concat("run_id", F.lit(".json")))
+    json_arrays.write_json_documents(told.select("document", *columns), path, "document", ["lang", "item_no"])
+    back = json_arrays.read_json_arrays(spark, path, range_bytes=ARRAY_RANGE_BYTES)
+    kinds = "run_id string, lang string, item_no bigint, answer string, pred_word string, correct boolean"
+    return back.select(F.col("item_no").alias("place"), F.from_json("value", kinds).alias("r")).select("place", "r.*")
+
+
 # ---- prompts ----------------------------------------------------------------
 
 _PROMPT = ["task", "label_mode", "lang", "item_no", "n_shots", "prompt"]

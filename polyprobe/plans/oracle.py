@@ -365,6 +365,15 @@ def oracle_sql() -> dict[str, str]:
       JOIN usable e ON e.family = l.family AND e.lang = 'en' AND e.class = l.class
       WHERE l.family = 'base'""")
     q["sink_json_roundtrip"] = q["scan_eval_single"]
+    q["scan_eval_arrays"] = _with(_BASE, f"""
+      SELECT task, lang, item_no, text AS input, NULL::varchar premise, NULL::varchar hypothesis, NULL::varchar sentence1,
+        NULL::varchar sentence2, answer FROM single
+      UNION ALL SELECT task, lang, item_no, NULL, {_PREMISE}, {_HYPOTHESIS}, NULL, NULL, answer FROM nli
+      UNION ALL SELECT task, lang, item_no, NULL, NULL, NULL, text, next_text, answer FROM pair""")
+    q["scan_lang_arrays"] = q["scan_lang_subset"]
+    q["sink_json_document"] = _with(_CHOSEN, """
+      SELECT row_number() OVER (PARTITION BY run_id ORDER BY lang, item_no) - 1 place, run_id, lang, item_no, answer, pred_word, correct
+      FROM predicted WHERE task = 'sentiment' AND label_mode = 'native'""")
     q["prompt_single"] = _with([*_BASE, _prompts_only()], "SELECT task, label_mode, lang, item_no, n_shots, prompt FROM prompts")
     q["prompt_nli"] = _with(_BASE, _prompt_two("nli", _PREMISE, _HYPOTHESIS))
     q["prompt_pair"] = _with(_BASE, _prompt_two("pair", "i.text", "i.next_text"))

@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from polyprobe import schemas
+from polyprobe.sources import json_arrays
 
-# <task>_<lang><rows>_test.json
-_FILE_NAME = r"([A-Za-z]+)_([a-z]{2})(\d+)_test\.json$"
+def read_eval_arrays(
+    spark: SparkSession, path: str, task: str, langs: list[str] | None = None, range_bytes: int = json_arrays.RANGE_BYTES
+) -> DataFrame:
+    """Evaluation sets kept as JSON arrays, one file per language, position kept as item_no.
 
+    Large files are read by many tasks; the files of other tasks and
+    languages are not planned.
+    """
+    found = json_arrays.read_json_arrays(spark, path, [task], langs, range_bytes)
+    return found.select("task", "lang", "item_no", F.from_json("value", schemas.EVAL_ITEM[task]).alias("item")).select(
+        "task", "lang", "item_no", "item.*")
 
-def read_eval_arrays(spark: SparkSession, path: str, task: str, langs: list[str] | None = None) -> DataFrame:
-    """JSON-array evaluation files, one per language, position kept as item_no.
 
-    An array file is one record for Spark, so this suits files that fit a task;
-    larger sets belong in a table written by ``write_eval_table``.
-    """
-    name = F.col("_metadata.file_name")
-    raw = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(name, _FILE_NAME, 2).alias("lang"), "value"
-    )
-    if langs is not None:
-        raw = raw.filter(F.col("lang").isin(list(langs)))
-    parsed = raw.select(
-        F.lit(task).alias("task"), "lang",
-        F.posexplode(F.from_json("value", T.ArrayType(schemas.EVAL_ITEM[task]))).alias("pos", "item"),
-    )
-    return parsed.select("task", "lang", F.col("pos").cast("bigint").alias("item_no"), "item.*")
+def write_eval_arrays(items: DataFrame, path: str, task: str) -> DataFrame:
+    """One JSON array per language, named as ``read_eval_arrays`` expects, in the order of item_no."""
+    fields = schemas.EVAL_ITEM[task].names
+    named = items.select(F.format_string(f"{task}_%s_test.json", "lang").alias("document"), "item_no", *fields)
+    return json_arrays.write_json_documents(named, path, "document", ["item_no"], fields)
 
 
 def write_eval_table(items: DataFrame, path: str) -> None:
