@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyprobe.llm import decontamination, extraction, lm_scoring, neardup, packing, piece_coding, pii, quality_classifier, quality_rules, suffix_dedup, token_alignment, toxicity
+from polyprobe.llm import decontamination, extraction, lm_scoring, neardup, packing, piece_coding, pii, quality_classifier, quality_rules, spelling, suffix_dedup, token_alignment, toxicity
 from polyprobe.llm.common import table
 
 
@@ -78,6 +78,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_groups(table(spark, sf_dir, "documents"), min_length=5, min_count=3, ratio=2, slip_every=97)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_coding.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cotrained_quality": op9_cotrained_quality,
     "op10_minhash_neardup": op10_minhash_neardup,
     "op11_token_alignment": op11_token_alignment,
+    "op12_spelling_groups": op12_spelling_groups,
     "op13_piece_coding": op13_piece_coding,
 }
 
