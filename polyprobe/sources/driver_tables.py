@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from polyprobe import locales, schemas
 from polyprobe.functions import vectors as V
-from polyprobe.operators.candidates import class_table
+from polyprobe.operators.candidates import FirstTokenizer, class_table
 from polyprobe.operators.layout import spread
 from polyprobe.operators.lens import lens_sets
 from polyprobe.operators.positions import with_item_no
@@ -55,7 +55,7 @@ def vocab(spark: SparkSession) -> DataFrame:
     return dim.vocab_table(spark, PIECES)
 
 
-def load_folding_tokenizer():
+def load_folding_tokenizer() -> FirstTokenizer:
     """First token of a text for a tokenizer that folds it and takes the longest piece."""
     ids = {p: i for i, p in enumerate(PIECES)}
     longest = max(map(len, ids))
@@ -65,7 +65,8 @@ def load_folding_tokenizer():
         folded = text.lower().translate(table)
         return next((ids[folded[:n]] for n in range(min(longest, len(folded)), 0, -1) if folded[:n] in ids), None)
 
-    return first
+    # Folding never makes a text shorter, so no character beyond the longest piece matters.
+    return FirstTokenizer(lambda texts: [first(t) for t in texts], longest)
 
 
 FAMILIES = {"base": None, "extra": load_folding_tokenizer}

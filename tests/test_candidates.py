@@ -1,10 +1,16 @@
 """Pieces and candidate ids of answer words."""
 
+import random
+import sys
+
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from polyprobe import locales
 from polyprobe.functions import words as W
+from polyprobe.functions.trie import Codes, PieceTrie, PrefixForest
 from polyprobe.operators import candidates as cand, lens
 from polyprobe.sources import dimensions as dim, driver_tables as src
 
@@ -117,3 +123,92 @@ def test_demonstrations_use_the_labels_of_their_language():
 def test_unrelated_native_words_where_present():
     rows = locales.answer_word_rows([("sentiment", "unrelated_native")])
     assert {r["lang"] for r in rows} == set(locales.LANGUAGES) - {"fr", "nl"}
+
+
+# ---- trie and prefix forest -------------------------------------------------
+
+def _brute(word, ids, first=None):
+    spelled = [word[:n] for n in range(1, len(word) + 1)]
+    found = {ids[t] for p in spelled for t in (p, W.WORD_START + p) if t in ids}
+    piece = _python_byte_piece(word)
+    found |= {ids[piece]} if piece in ids else set()
+    return sorted(found | ({first(p) for p in spelled} - {None} if first else set()))
+
+
+ODD_WORDS = ["", "a", "aa", "▁", "▁a", "▁▁a", "積極", "積x", "éa", "é", "👍a", "\x01", "\t", "<0xE7>", "ab" * 40, "￿"]
+
+
+@pytest.fixture(scope="module")
+def random_vocab(spark):
+    rng = random.Random(3)
+    pieces = {"".join(rng.choices("ab▁é積👍", k=rng.randint(1, 5))) for _ in range(400)}
+    pieces |= {f"<0x{b:02X}>" for b in range(0, 256, 3)} | {"￿", "<", "<0"}
+    ids = {p: i * 7 for i, p in enumerate(sorted(pieces))}
+    return ids, spark.createDataFrame(list(ids.items()), "piece string, token_id int")
+
+
+@pytest.fixture(scope="module")
+def random_words():
+    rng = random.Random(5)
+    return sorted({*ODD_WORDS, *("".join(rng.choices("ab▁é積👍x", k=rng.randint(1, 9))) for _ in range(500))})
+
+
+def _load_first():
+    def first(text):
+        return None if text.endswith("x") else len(text) % 3 if "b" in text else 900
+    return cand.FirstTokenizer(lambda texts: [first(t) for t in texts])
+
+
+@pytest.mark.parametrize("load", [None, _load_first])
+@pytest.mark.parametrize("cut", [False, True])
+def test_trie_equals_plain_lookup(spark, monkeypatch, random_vocab, random_words, cut, load):
+    ids, vocab = random_vocab
+    if cut:  # as if the vocabulary were too large to ship
+        monkeypatch.setattr(cand, "MAX_PIECES", 10)
+        monkeypatch.setattr(cand, "PART_WORDS", 20)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    words = spark.createDataFrame([(w, k) for k, w in enumerate(random_words)], "word string, k int")
+    got = {r["word"]: r["token_ids"] for r in cand.candidate_ids(words, vocab, ["k", "word"], load_tokenizer=load).collect()}
+    first = load and (lambda t: load().first([t])[0])
+    assert got == {w: _brute(w, ids, first) for w in random_words}
+
+
+def test_null_words_and_empty_vocabularies(spark):
+    words = spark.createDataFrame([(1, None), (2, "a")], "k int, word string")
+    none = spark.createDataFrame([], "piece string, token_id int")
+    for vocab in (none, src.vocab(spark)):
+        rows = {r["k"]: r["token_ids"] for r in cand.candidate_ids(words, vocab, ["k", "word"]).collect()}
+        assert rows[1] == [] and 2 in rows
+    ids = spark.createDataFrame([(1, [5, 4, None, 999]), (2, []), (3, None)], "k int, token_ids array<int>")
+    named = {r["k"]: r["pieces"] for r in cand.ids_to_pieces(ids, src.vocab(spark), ["k"]).collect()}
+    assert named == {1: [src.PIECES[5], src.PIECES[4]], 2: [], 3: []}
+
+
+def test_a_piece_with_two_ids_is_refused():
+    with pytest.raises(ValueError, match="two ids"):
+        PieceTrie(["a", "a"], [1, 2])
+
+
+def test_a_megabyte_word_takes_steps_of_the_longest_piece(spark):
+    word = "positive" * 131_072
+    words = spark.createDataFrame([(word,), ("pos",)], "word string")
+    for load in (None, src.load_folding_tokenizer):
+        rows = cand.candidate_ids(words, src.vocab(spark), ["word"], load_tokenizer=load).collect()
+        ids = {r["word"]: r["token_ids"] for r in rows}
+        assert {src.PIECES[i] for i in ids[word]} == set("p po pos posit positiv positive ▁p ▁pos ▁positive".split())
+
+
+def test_words_are_one_row_each_and_move_nowhere(spark):
+    words = spark.range(10).select(F.col("id").cast("string").alias("word"))
+    plan = cand.ids_to_pieces(cand.candidate_ids(words, src.vocab(spark), ["word"]), src.vocab(spark), ["word"]) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Exchange", "Generate", "Join", "Aggregate"))
+
+
+def test_every_prefix_is_coded_once_per_batch():
+    texts = ["abc", "abd", "ab", "x", ""]
+    column = pa.array(texts)
+    forest = PrefixForest(texts, Codes(column, 10))
+    assert sorted(forest.names) == ["a", "ab", "abc", "abd", "x"]
+    rows, ids = forest.first_tokens([{"a": 1, "ab": 1, "abc": 2, "abd": 1, "x": None}[n] for n in forest.names])
+    assert sorted(zip(rows.tolist(), ids.tolist())) == [(0, 1), (0, 2), (1, 1), (2, 1)]
