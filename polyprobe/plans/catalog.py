@@ -11,7 +11,7 @@ from polyprobe.functions import text as X, words as W
 from polyprobe.functions.draws import draw_int
 from polyprobe.operators import (
     batch, candidates as cand, choices, layout, lens, matching, positions, prompts, readout, representation as rep,
-    sampling, scoring, stats,
+    sampling, scoring, stats, training,
 )
 from polyprobe.plans import evaluation as ev, lens as lp, representation as rp
 from polyprobe.session import scratch_path
@@ -74,11 +74,11 @@ def run_grid(spark, sf_dir):
 
 
 def _gap(spark, sf_dir):
-    items = lens.lens_filter(src.lens_items(spark, sf_dir), src.sets(spark, ["base"]))
+    items = lens.lens_filter(src.lens_items(spark, sf_dir), src.sets(spark))
     asked = prompts.with_prompt(
         src.with_text(spark, sf_dir, items, out="input"), dim.locale_table(spark, [("sentiment", "native")]), "sentiment")
     return asked.select(
-        "lang", "item_no", "prompt", F.col("out_ids").alias("out_token_id"), F.col("answer").alias("out_token_str"),
+        "family", "lang", "item_no", "prompt", F.col("out_ids").alias("out_token_id"), F.col("answer").alias("out_token_str"),
         F.col("latent_ids").alias("latent_token_id"), F.col("latent_word").alias("latent_token_str"))
 
 
@@ -214,10 +214,10 @@ def forced_stem(spark, sf_dir):
     keys = src.labelled(spark, sf_dir).withColumn("lang", src.relabel(F.col("lang"), src.STEM_LANG))
     items = src.with_text(spark, sf_dir, src.with_answer(spark, keys, "sentiment", src.sentiment_class()), out="input")
     asked = prompts.with_prompt(items, dim.locale_table(spark, [("sentiment", "native")]), "sentiment")
-    table = src.classes(spark, [("sentiment", "native")], ["base"])
+    table = src.classes(spark, [("sentiment", "native")])
     ids = F.transform("classes", lambda c: F.concat_ws(":", c["class"], F.array_join(c["token_ids"].cast("array<string>"), ",")))
     return asked.join(table, ["task", "label_mode", "lang"]).select(
-        "lang", "item_no", "stem", F.concat("prompt", "stem").alias("prompt"), listed(ids).alias("class_ids"))
+        "family", "lang", "item_no", "stem", F.concat("prompt", "stem").alias("prompt"), listed(ids).alias("class_ids"))
 
 
 @query
@@ -233,13 +233,13 @@ def candidate_overlap(spark, sf_dir):
 
 # ---- outputs and matching ---------------------------------------------------
 
-def _native_outputs(spark, sf_dir, run_ids=("m1",)):
-    return ev.with_outputs(spark, sf_dir, ev.predictions(spark, sf_dir, [("sentiment", "native")], run_ids))
+def _native_outputs(spark, sf_dir):
+    return ev.with_outputs(spark, sf_dir, ev.predictions(spark, sf_dir, [("sentiment", "native")]))
 
 
 @query
 def strip_prompt(spark, sf_dir):
-    return _native_outputs(spark, sf_dir).select("lang", "item_no", "is_prefix", "answer_text")
+    return _native_outputs(spark, sf_dir).select("run_id", "lang", "item_no", "is_prefix", "answer_text")
 
 
 @query
@@ -247,7 +247,7 @@ def wrong_format(spark, sf_dir):
     words = F.transform("classes", lambda c: c["word"])
     answer = F.col("answer_text")
     return _native_outputs(spark, sf_dir).select(
-        "lang", "item_no", matching.wrong_format(answer, words).alias("is_wrong"),
+        "run_id", "lang", "item_no", matching.wrong_format(answer, words).alias("is_wrong"),
         matching.matched_class(answer, F.col("classes"))["class"].alias("said_class"))
 
 
@@ -352,7 +352,7 @@ def accuracy_grid(spark, sf_dir):
 @query
 def eval_diagnostics(spark, sf_dir):
     shared = ev.shared_id_counts(src.classes(spark, [("sentiment", "native")]))
-    return ev.diagnostics(_native_outputs(spark, sf_dir, ("m1", "m2")), shared)
+    return ev.diagnostics(_native_outputs(spark, sf_dir), shared)
 
 
 # ---- layer-wise readout -----------------------------------------------------
@@ -560,14 +560,62 @@ def batch_score(spark, sf_dir):
 
 @query
 def batch_accuracy(spark, sf_dir):
-    """The whole evaluation with scores computed on the spot and stored once."""
+    """The whole evaluation with scores computed on the spot and stored once, for every family's candidates."""
     items = src.eval_single(spark, sf_dir).drop("quality", "toxic")
     packs = dim.locale_table(spark, [("sentiment", "native")])
     asked = layout.spread(prompts.with_prompt(items, packs, "sentiment").select(
         "task", "label_mode", "lang", "item_no", "answer", "prompt"), ["lang", "item_no"])
     stored = layout.materialize(batch.score_prompts(asked, src.load_scorer).drop("prompt"), "scores")
-    scored = stored.withColumn("run_id", F.lit("letters")).join(
-        src.classes(spark, [("sentiment", "native")], ["base"]), ["task", "label_mode", "lang"])
+    scored = stored.join(src.classes(spark, [("sentiment", "native")]), ["task", "label_mode", "lang"]).withColumn(
+        "run_id", F.concat(F.lit("letters-"), "family"))
     predicted = ev.predict(scoring.with_class_masses(scored, width=src.WIDTH))
     return ev.accuracy(predicted, dim.locale_table(spark)).select(
-        "lang", "n_items", "n_shots", "n_correct", r6("accuracy").alias("accuracy"))
+        "run_id", "lang", "n_items", "n_shots", "n_correct", r6("accuracy").alias("accuracy"))
+
+
+# ---- training sets ----------------------------------------------------------
+
+TARGETS = ("de", "es", "fr")
+SPLIT_SEED, SAMPLE_SIZE_SEED = "split", "sample"
+HELD_OUT = 0.05
+SAMPLES = 100
+MAX_TOKENS = 2048
+
+
+def _pairs(spark, sf_dir):
+    return training.aligned_pairs(src.labelled(spark, sf_dir), "en", list(TARGETS))
+
+
+@query
+def translation_pairs(spark, sf_dir):
+    """The English item as input, the same item in another language as output; a missing side stays null."""
+    pairs = _pairs(spark, sf_dir)
+    texts = src.table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = F.concat(F.lit("Say the same in the language "), "lang", F.lit("."))
+    asked = pairs.join(texts.select(F.col("doc_id").alias("source"), F.col("text").alias("input")), "source", "left")
+    both = asked.join(texts.select(F.col("doc_id").alias("target"), F.col("text").alias("output")), "target", "left")
+    return both.select("lang", "item_no", told.alias("instruction"), "input", "output")
+
+
+@query
+def val_split(spark, sf_dir):
+    """5 % of the aligned items held out, each with all its languages."""
+    return _pairs(spark, sf_dir).select(
+        "lang", "item_no", F.when(
+            training.held_out(HELD_OUT, F.lit(SPLIT_SEED), F.col("item_no")), "validation").otherwise("train").alias("part"))
+
+
+@query
+def cap_samples(spark, sf_dir):
+    """Exactly 100 documents per language, or all of a smaller one: the cap is the feature."""
+    docs = src.table(spark, sf_dir, "documents").select("lang", "doc_id")
+    return training.sample_exactly(
+        docs, ["lang"], SAMPLES, "doc_id", F.lit(SAMPLE_SIZE_SEED), F.col("doc_id")).select("lang", "doc_id")
+
+
+@query
+def cutoff_len(spark, sf_dir):
+    """Texts up to 2,048 tokens between blanks: the cut is the feature."""
+    kept = training.cut_off(F.col("text"), MAX_TOKENS)
+    return src.table(spark, sf_dir, "documents").select(
+        "doc_id", kept.alias("text"), (F.length(kept) < F.length("text")).alias("is_cut"))

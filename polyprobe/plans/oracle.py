@@ -357,13 +357,12 @@ def oracle_sql() -> dict[str, str]:
     q["scan_lang_subset"] = _with(_BASE, _SINGLE + " WHERE lang IN ('en', 'fr')")
     q["run_grid"] = _with(_BASE, "SELECT r.*, d.lang, d.n_docs FROM runs r CROSS JOIN (SELECT lang, count(*) n_docs FROM documents GROUP BY lang) d")
     q["sink_gap_csv"] = _with(_LENSED, """
-      SELECT l.lang, l.item_no, k.demo_block || chr(10) || d.text || chr(10) || k.answer_field || ': "' prompt,
+      SELECT l.family, l.lang, l.item_no, k.demo_block || chr(10) || d.text || chr(10) || k.answer_field || ': "' prompt,
         '[' || o.ids || ']' out_token_id, l.answer out_token_str, '[' || e.ids || ']' latent_token_id, l.latent_word latent_token_str
       FROM lens_rows l JOIN documents d USING (doc_id)
       JOIN locale k ON k.task = 'sentiment' AND k.label_mode = 'native' AND k.lang = l.lang
       JOIN usable o ON o.family = l.family AND o.lang = l.lang AND o.class = l.class
-      JOIN usable e ON e.family = l.family AND e.lang = 'en' AND e.class = l.class
-      WHERE l.family = 'base'""")
+      JOIN usable e ON e.family = l.family AND e.lang = 'en' AND e.class = l.class""")
     q["sink_json_roundtrip"] = q["scan_eval_single"]
     q["scan_eval_arrays"] = _with(_BASE, f"""
       SELECT task, lang, item_no, text AS input, NULL::varchar premise, NULL::varchar hypothesis, NULL::varchar sentence1,
@@ -397,10 +396,10 @@ def oracle_sql() -> dict[str, str]:
       GROUP BY c.lang, c.word""")
     q["forced_stem"] = _with(_BASE, f"""
       , relabelled AS (SELECT doc_id, {_mapped('lang', src.STEM_LANG)} lang, item_no, text FROM labelled),
-      class_ids AS (SELECT lang, class, class || ':' || string_agg(token_id::varchar, ',' ORDER BY token_id) ids
-        FROM cand WHERE family = 'base' AND task = 'sentiment' AND label_mode = 'native' GROUP BY lang, class),
-      all_ids AS (SELECT lang, string_agg(ids, '|' ORDER BY class) class_ids FROM class_ids GROUP BY lang)
-      SELECT r.lang, r.item_no, s.stem, l.demo_block || chr(10) || r.text || chr(10) || l.answer_field || ': "' || s.stem prompt, a.class_ids
+      class_ids AS (SELECT family, lang, class, class || ':' || string_agg(token_id::varchar, ',' ORDER BY token_id) ids
+        FROM cand WHERE task = 'sentiment' AND label_mode = 'native' GROUP BY family, lang, class),
+      all_ids AS (SELECT family, lang, string_agg(ids, '|' ORDER BY class) class_ids FROM class_ids GROUP BY family, lang)
+      SELECT a.family, r.lang, r.item_no, s.stem, l.demo_block || chr(10) || r.text || chr(10) || l.answer_field || ': "' || s.stem prompt, a.class_ids
       FROM relabelled r JOIN locale l ON l.lang = r.lang AND l.task = 'sentiment' AND l.label_mode = 'native'
       JOIN stems s ON s.lang = r.lang AND s.task = 'sentiment' AND s.label_mode = 'native' JOIN all_ids a ON a.lang = r.lang""")
     q["candidate_overlap"] = _with(_LENSED, f"""
@@ -410,10 +409,10 @@ def oracle_sql() -> dict[str, str]:
       GROUP BY f.family, i.lang, i.item_no""")
 
     # outputs and matching
-    q["strip_prompt"] = _with(_CHOSEN, "SELECT lang, item_no, is_prefix, answer_text FROM answers WHERE run_id = 'm1'")
+    q["strip_prompt"] = _with(_CHOSEN, "SELECT run_id, lang, item_no, is_prefix, answer_text FROM answers")
     q["wrong_format"] = _with(_CHOSEN, """
-      SELECT a.lang, a.item_no, s.said_class IS NULL is_wrong, s.said_class
-      FROM answers a LEFT JOIN said s USING (run_id, lang, item_no) WHERE a.run_id = 'm1'""")
+      SELECT a.run_id, a.lang, a.item_no, s.said_class IS NULL is_wrong, s.said_class
+      FROM answers a LEFT JOIN said s USING (run_id, lang, item_no)""")
     q["extract_dictionary"] = """
       WITH found AS (SELECT event_id, event_type NOT IN ('error', 'purchase') found, props FROM events)
       SELECT event_id, found, CASE WHEN found THEN array_to_string(list_sort(json_keys(props)), '|') END AS names,
@@ -554,16 +553,41 @@ def oracle_sql() -> dict[str, str]:
       , waves AS (SELECT lang, item_no, i, {_waves('0')} x FROM letters CROSS JOIN features GROUP BY lang, item_no, i),
       weights AS (SELECT *, exp(x - max(x) OVER (PARTITION BY lang, item_no)) w FROM waves),
       mass AS (
-        SELECT s.lang, s.item_no, s.answer, c.class, c.word, sum(w.w) m FROM single s JOIN weights w USING (lang, item_no)
-        JOIN cand c ON c.family = 'base' AND c.task = 'sentiment' AND c.label_mode = 'native' AND c.lang = s.lang AND c.token_id = w.i
+        SELECT c.family, s.lang, s.item_no, s.answer, c.class, c.word, sum(w.w) m FROM single s JOIN weights w USING (lang, item_no)
+        JOIN cand c ON c.task = 'sentiment' AND c.label_mode = 'native' AND c.lang = s.lang AND c.token_id = w.i
         GROUP BY ALL),
-      pick AS (SELECT lang, item_no, answer, arg_max(word, m) word FROM mass GROUP BY ALL)
-      SELECT p.lang, count(*) n_items, any_value(l.n_shots)::int n_shots, count(*) FILTER (starts_with(word, answer)) n_correct,
+      pick AS (SELECT family, lang, item_no, answer, arg_max(word, m) word FROM mass GROUP BY ALL)
+      SELECT 'letters-' || p.family run_id, p.lang, count(*) n_items, any_value(l.n_shots)::int n_shots, count(*) FILTER (starts_with(word, answer)) n_correct,
         {r6('avg(starts_with(word, answer)::int::double)')} accuracy
-      FROM pick p JOIN locale l ON l.task = 'sentiment' AND l.label_mode = 'native' AND l.lang = p.lang GROUP BY p.lang""")
+      FROM pick p JOIN locale l ON l.task = 'sentiment' AND l.label_mode = 'native' AND l.lang = p.lang GROUP BY p.family, p.lang""")
+
+    # training sets
+    targets = ", ".join(f"('{t}')" for t in catalog.TARGETS)
+    q["translation_pairs"] = _with([*_BASE, _aligned(targets)], """
+      SELECT lang, item_no, 'Say the same in the language ' || lang || '.' instruction, input, output FROM aligned""")
+    held = f"{draw(_text(catalog.SPLIT_SEED), 'item_no::varchar')}::double + 0.5"
+    q["val_split"] = _with([*_BASE, _aligned(targets)], f"""
+      SELECT lang, item_no, CASE WHEN ({held}) / 4294967296.0::double < {catalog.HELD_OUT}::double THEN 'validation' ELSE 'train' END part FROM aligned""")
+    q["cap_samples"] = f"""
+      SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang
+        ORDER BY ('0x' || substring(md5(concat_ws('|', '{catalog.SAMPLE_SIZE_SEED}', doc_id::varchar)), 1, 15))::bigint, doc_id) <= {catalog.SAMPLES}"""
+    q["cutoff_len"] = f"""
+      SELECT doc_id, array_to_string(string_split(text, ' ')[1:{catalog.MAX_TOKENS}], ' ') AS text,
+        len(string_split(text, ' ')) > {catalog.MAX_TOKENS} is_cut FROM documents"""
     return q
 
 
+def _aligned(targets: str) -> str:
+    """Items of English and each target by item number, missing sides kept."""
+    return f"""
+      targets AS (SELECT * FROM (VALUES {targets}) t(lang)),
+      aligned AS (
+        SELECT coalesce(a.lang, b.lang) lang, coalesce(a.item_no, b.item_no) item_no, a.text AS input, b.text AS output
+        FROM (SELECT t.lang, i.item_no, i.text FROM labelled i CROSS JOIN targets t WHERE i.lang = 'en') a
+        FULL JOIN (SELECT i.lang, i.item_no, i.text FROM labelled i JOIN targets t USING (lang)) b
+        ON a.lang = b.lang AND a.item_no = b.item_no)"""
+
+
 def _prompts_only() -> str:
     start = CHOICES.index("prompts AS (")
     return CHOICES[start:CHOICES.index("outputs AS (")].strip().rstrip(",")

@@ -29,6 +29,7 @@ def eval_table(task: str) -> T.StructType:
 
 # Analysis set as written to CSV: the id lists are JSON text.
 GAP_TABLE = T.StructType([
+    T.StructField("family", T.StringType()),
     T.StructField("lang", T.StringType()),
     T.StructField("item_no", T.LongType()),
     T.StructField("prompt", T.StringType()),

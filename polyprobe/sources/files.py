@@ -50,18 +50,19 @@ _CSV = {
 
 
 def write_gap_csv(gap: DataFrame, path: str) -> None:
-    """Analysis set as CSV files, one folder per language."""
+    """Analysis set as CSV files, one folder per model family and language."""
     gap.select(
-        "lang", "item_no", "prompt",
+        "family", "lang", "item_no", "prompt",
         id_list_json(F.col("out_token_id")).alias("out_token_id"), "out_token_str",
         id_list_json(F.col("latent_token_id")).alias("latent_token_id"), "latent_token_str",
-    ).write.partitionBy("lang").options(**_CSV).csv(path)
+    ).write.partitionBy("family", "lang").options(**_CSV).csv(path)
 
 
 def read_gap_csv(spark: SparkSession, path: str) -> DataFrame:
-    body = T.StructType([f for f in schemas.GAP_TABLE.fields if f.name != "lang"])
+    folders = [schemas.GAP_TABLE[c] for c in ("family", "lang")]
+    body = [f for f in schemas.GAP_TABLE.fields if f not in folders]
     return (
-        spark.read.schema(T.StructType([*body.fields, schemas.GAP_TABLE["lang"]]))
+        spark.read.schema(T.StructType([*body, *folders]))
         .options(**_CSV, multiLine="true").csv(path)
         .select(*schemas.GAP_TABLE.names)
     )

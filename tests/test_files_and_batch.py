@@ -50,8 +50,8 @@ def test_language_choice_prunes_partitions(spark, sf_dir, tmp_path):
 def test_csv_keeps_awkward_texts(spark, tmp_path):
     text = ' lead "quoted", comma\nnew line\r\nand more \\ end '
     gap = spark.createDataFrame(
-        [("en", 0, text, [1, 2], "positive", [3], "positive")],
-        "lang string, item_no bigint, prompt string, out_token_id array<int>, out_token_str string, "
+        [("base", "en", 0, text, [1, 2], "positive", [3], "positive")],
+        "family string, lang string, item_no bigint, prompt string, out_token_id array<int>, out_token_str string, "
         "latent_token_id array<int>, latent_token_str string")
     path = str(tmp_path / "gap")
     files.write_gap_csv(gap, path)
