@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from polyprobe.functions.draws import draw_uniform
+from polyprobe.functions.draws import draw_long, draw_uniform
 
-#: Bits of a draw that one histogram looks at, and all bits of a draw.
+#: Bits that one histogram looks at, of the 60 of a draw.
 BIN_BITS, DRAW_BITS = 12, 60
 _ROUNDS = 2
 
@@ -32,11 +32,6 @@ def held_out(share: float, *seed: Column) -> Column:
     return draw_uniform(*seed) < share
 
 
-def draw_long(*seed: Column) -> Column:
-    """60 bits from the seed columns, the same on every engine with md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *seed)), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
-
-
 def sample_exactly(df: DataFrame, groups: list[str], n: int, key: str, *seed: Column) -> DataFrame:
     """The ``n`` rows of smallest draw per group, or all rows of a smaller group; ties go by ``key``.
 

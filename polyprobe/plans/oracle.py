@@ -499,11 +499,15 @@ def oracle_sql() -> dict[str, str]:
     q["topk_pieces"] = _with(_SCORED, ranked + f"""
       SELECT {_CUT_TYPED}, rank::int AS rank, token_id::int token_id, piece, trunc(p * 100)::int AS percent
       FROM ranked JOIN vocab USING (token_id) WHERE rank <= 10""")
-    uniform = f"(({draw(chr(39) + str(catalog.SAMPLE_SEED) + chr(39), 'run_id', 'lang', 'item_no::varchar', 'layer::varchar', 'token_id::varchar')})::double + 0.5) / 4294967296.0::double"
+    bits = f"('0x' || substring(md5(concat_ws('|', '{catalog.SAMPLE_SEED}', run_id, lang, item_no::varchar, layer::varchar)), 1, 15))::bigint"
     q["sample_token"] = _with(_SCORED, f"""
-      , noisy AS (SELECT *, logit / {catalog.TEMPERATURE}::double - ln(-ln({uniform})) g FROM logits)
-      SELECT run_id, lang, item_no, layer::int layer, arg_max(token_id, g)::int token_id, arg_max(token_id, logit)::int greedy_id
-      FROM noisy GROUP BY run_id, lang, item_no, layer""")
+      , heated AS (SELECT *, exp((logit - peak) / {catalog.TEMPERATURE}::double) w FROM peaks),
+      running AS (
+        SELECT *, sum(w) OVER (PARTITION BY run_id, doc_id, layer ORDER BY token_id) upto,
+               sum(w) OVER (PARTITION BY run_id, doc_id, layer) total, ({bits} + 0.5::double) / 1152921504606846976::double u FROM heated)
+      SELECT run_id, lang, item_no, layer::int layer, min(token_id) FILTER (upto > u * total)::int token_id,
+        arg_max(token_id, logit)::int greedy_id
+      FROM running GROUP BY run_id, lang, item_no, layer""")
 
     # readout matrix
     products = f"""

@@ -23,15 +23,28 @@ def _metric(spark, values, key="g"):
     return spark.createDataFrame([(key, float(v)) for v in values], "g string, v double")
 
 
-@pytest.mark.parametrize("whole_group", [10_000, 50])
-def test_quantiles_are_exact(spark, monkeypatch, whole_group):
-    monkeypatch.setattr(stats, "WHOLE_GROUP", whole_group)
+def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(1)
-    # A third of the values are one value.
-    values = np.concatenate([rng.normal(size=1400), np.zeros(700)])
-    probs = (0.0, 0.05, 0.5, 0.95, 1.0)
-    got = stats.exact_quantiles(_metric(spark, values), ["g"], "v", probs).first()["quantiles"]
-    assert np.allclose(got, np.quantile(values, probs), atol=1e-12)
+    # A third of the values are one value; the others differ in sign and by hundreds of magnitudes.
+    values = np.concatenate([rng.normal(size=700), rng.normal(size=700) * 10.0 ** rng.integers(-300, 300, 700), np.zeros(700)])
+    probs = (0.0, 0.05, 0.31, 0.5, 0.95, 1.0)
+    frame = _metric(spark, values, "a").union(_metric(spark, values[:7], None)).union(_metric(spark, [-0.0, 0.0, np.inf, -np.inf], "c"))
+    got = {r["g"]: r["quantiles"] for r in stats.exact_quantiles(frame, ["g"], "v", probs).collect()}
+    assert np.allclose(got["a"], np.quantile(values, probs), rtol=1e-12, atol=0)
+    assert np.allclose(got[None], np.quantile(values[:7], probs), rtol=1e-12, atol=0)
+    assert got["c"][0] == -np.inf and got["c"][-1] == np.inf and got["c"][3] == 0.0
+
+
+def test_bits_keep_the_order_of_doubles(spark):
+    values = [-np.inf, -1e300, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1e300, np.inf, float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(stats.ordered_bits(F.col("v")).alias("b"))
+    bits = [r["b"] for r in rows.collect()]
+    assert bits == sorted(bits) and bits[4] == bits[5]
+
+
+def test_selection_moves_counts_only(spark):
+    plan = stats.exact_quantiles(_metric(spark, range(100)), ["g"], "v", (0.5,))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort [" not in plan and "ResolvedHint" not in plan
 
 
 def test_quantiles_of_one_value(spark):
