@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from polyprobe.llm import (decontamination, extraction, lm_scoring, neardup, packing, pii, quality_classifier,
-                           quality_rules, suffix_dedup, toxicity)
+from polyprobe.llm import (decontamination, extraction, lm_scoring, neardup, packing, piece_coding, pii,
+                           quality_classifier, quality_rules, spelling, suffix_dedup, token_alignment, toxicity)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -32,6 +32,11 @@ def _toxic(spark, docs):
     return toxicity.score_texts(docs, toxicity.train(docs, _labels(spark), F.lit(True)))
 
 
+def _alignment(spark, docs):
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return token_alignment.with_link_counts(token_alignment.align(docs, *paths))
+
+
 OPERATORS = {
     "lm": lambda s, d: lm_scoring.score(d, 2),
     "pii": lambda s, d: pii.mask(d, "k").select("doc_id", "text", "n_replaced"),
@@ -43,10 +48,13 @@ OPERATORS = {
     "quality_rules": lambda s, d: quality_rules.judge(d),
     "quality_classifier": lambda s, d: quality_classifier.cotrain(d, _labels(s)),
     "neardup": lambda s, d: neardup.near_duplicates(d),
+    "alignment": _alignment,
+    "spelling": lambda s, d: spelling.spelling_groups(d, slip_every=97),
+    "piece_coding": lambda s, d: piece_coding.round_trip(d, public_tokenizers.path("piece_bpe_32k.model")),
 }
 #: Rows each operator returns for ``ROWS``.
 EXPECTED = {"lm": 8, "pii": 10, "extraction": 10, "suffix": 8, "toxicity": 10, "quality_rules": 10,
-            "quality_classifier": 10, "neardup": 7}
+            "quality_classifier": 10, "neardup": 7, "alignment": 10, "piece_coding": 10}
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +83,12 @@ def test_defined_results(spark, docs):
 
     near = rows(neardup.near_duplicates(docs))
     assert all(near[k]["kept"] and near[k]["n_shingles"] == 0 for k in (1, 2, 3))
+    aligned = rows(_alignment(spark, docs))
+    assert all(aligned[k]["n_a"] == aligned[k]["n_links"] == aligned[k]["count_sum"] == 0 for k in (1, 2))
+    coded = rows(piece_coding.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    assert coded[1]["ids"] == coded[2]["ids"] == [] and coded[1]["decoded"] == "" and coded[5]["decoded"] == LONG
+    spelt = {r["word"]: r for r in spelling.spelling_groups(docs).collect()}
+    assert spelt["number"]["n"] == 60_000 and spelt["number"]["root"] == "number"
     lm = rows(lm_scoring.score(docs, 2))
     assert lm[1]["n_words"] == 0 and lm[1]["log_score"] == 0 and None in lm
     packed = packing.pack(docs, TOKENIZER).where("doc_id in (1, 2, 3)").collect()
