@@ -2,75 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: Rows a range should hold, and ranges a group may have; beyond their product ranges grow with the group.
-RANGE_ROWS, MAX_RANGES = 50_000, 4096
-_FAN = 64
-#: A splitter is off by at most a quarter of the smallest range.
-_ACCURACY = 4 * MAX_RANGES
+from polyprobe.operators.layout import materialize
 
 
-def _number(df: DataFrame, order: str) -> Column:
-    """A number that never decreases along ``order``; only ranges are cut by it."""
-    kind = dict(df.dtypes)[order]
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    return F.col(order).cast("double" if kind in ("float", "double") else "bigint")
+def in_ranges(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The rows sorted by group and ``order`` over tasks of about equal size, stored, as (…, _at, _part).
 
-
-def with_range(df: DataFrame, group: list[str], order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Add ``_range``, which cuts each group into consecutive ranges of about equal size.
-
-    One sketch per group gives the splitters, as many as the group's size asks
-    for, so it does not matter whether ids are dense, hashed or bunched.  A
-    row finds its range in two steps, among every 64th splitter and then
-    among the 64 below.
+    A sample of the rows themselves sets the borders, so it does not matter
+    whether ids are dense, hashed, bunched or words, nor how the groups
+    differ: a large group spans many tasks.  ``_part`` numbers the tasks and
+    ``_at`` the rows, in order.  What is stored is what all readers see, also
+    after an executor was lost.
     """
-    key = _number(df, order)
-    places = [k / MAX_RANGES for k in range(1, MAX_RANGES)]
-    sketched = df.select(*group, key.alias("_key")).groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_key", places, _ACCURACY).alias("_all"))
-    wanted = F.least(F.lit(MAX_RANGES), F.ceil(F.col("_n") / range_rows)).cast("int")
-    chosen = F.when(wanted > 1, F.transform(
-        F.sequence(F.lit(1), wanted - 1), lambda k: F.get("_all", F.floor(k * MAX_RANGES / wanted).cast("int") - 1))
-    ).otherwise(F.array().cast("array<" + ("double" if dict(df.select(key.alias("k")).dtypes)["k"] == "double" else "bigint") + ">"))
-    splitters = sketched.select(*[F.col(g).alias(f"_s_{g}") for g in group], chosen.alias("_splits"))
-    tops = F.filter("_splits", lambda s, k: (k + 1) % _FAN == 0)
-    # One row per group.
-    met = F.lit(True)
-    for g in group:
-        met = met & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
-    joined = df.join(splitters.withColumn("_tops", tops), met, "left").withColumn("_key", key)
-    first = F.size(F.filter("_tops", lambda s: s < F.col("_key")))
-    within = F.size(F.filter(F.slice("_splits", first * _FAN + 1, F.lit(_FAN)), lambda s: s < F.col("_key")))
-    return joined.withColumn("_range", (first * _FAN + within).cast("int")).drop(
-        "_key", "_splits", "_tops", *[f"_s_{g}" for g in group])
+    by = [*group, order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(placed, "ranges").withColumn("_part", F.shiftright("_at", 33))
 
 
-def with_item_no(
-    df: DataFrame, group: list[str], order: str, out: str = "item_no", range_rows: int = RANGE_ROWS
-) -> DataFrame:
-    """Zero-based rank of a unique ``order`` column of numbers or strings within ``group``.
+def with_item_no(df: DataFrame, group: list[str], order: str, out: str = "item_no") -> DataFrame:
+    """Zero-based rank of a unique ``order`` column of any sortable type within ``group``.
 
-    Ranking runs inside a range, and ranks are shifted by the running count of
-    the ranges before, of which a group has at most ``MAX_RANGES``.  A null
-    group is a group; a null id comes first.
+    Rows are numbered where the sort left them, and shifted by the running
+    count of the group's rows in the tasks before.  The only window runs over
+    one row per task.  A null group is a group; a null id comes first.
     """
-    ranged = with_range(df, group, order, range_rows)
-    keys = [*group, "_range"]
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    same = F.col("_range") == F.col("_o__range")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    within = Window.partitionBy(*keys).orderBy(order)
-    return (
-        ranged.withColumn("_rank", F.row_number().over(within)).join(offsets, same)
-        .withColumn(out, (F.col("_rank") - 1 + F.col("_offset")).cast("bigint"))
-        .drop("_range", "_rank", "_offset", *[f"_o_{k}" for k in keys])
-    )
+    placed = in_ranges(df, group, order)
+    counted = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, "_part"]
+    starts = counted.select(
+        *[F.col(k).alias(f"_s_{k}") for k in keys], (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    return placed.join(starts, met).withColumn(out, F.col("_at") + F.col("_shift")).drop(
+        "_at", "_part", "_shift", *[f"_s_{k}" for k in keys])
 
 
 def head_per_group(df: DataFrame, n: int, position: str = "item_no") -> DataFrame:

@@ -13,30 +13,41 @@ def _ids(kind, n):
     return {
         "dense": lambda: list(range(n)), "hashed": lambda: list({rng.randrange(-2**62, 2**62) for _ in range(n)}),
         "bunched": lambda: [*range(n - 20), *(2**55 + 2**40 * k for k in range(20))],
-        "words": lambda: [f"id-{rng.random():.15f}"[3:] for _ in range(n)],
+        "words": lambda: [f"id-{rng.random():.15f}" for _ in range(n)],
     }[kind]()
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """As many tasks as asked for, also for few rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    yield 20
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.mark.parametrize("kind", ["dense", "hashed", "bunched", "words"])
-def test_windows_stay_small_and_ranks_are_right(spark, kind):
+def test_tasks_stay_small_and_ranks_are_right(spark, many_tasks, kind):
     """A group with four fifths of the rows, one small group, one group without a name."""
     rows = [("big", i) for i in _ids(kind, 8000)] + [("small", i) for i in _ids(kind, 50)] + [(None, i) for i in _ids(kind, 1900)]
     random.Random(1).shuffle(rows)
     frame = spark.createDataFrame(rows, f"g string, id {'string' if kind == 'words' else 'bigint'}").repartition(5)
-    largest = positions.with_range(frame, ["g"], "id", range_rows=100).groupBy("g", "_range").count().agg(F.max("count")).first()[0]
-    assert largest <= 300
-    got = {(r["g"], r["id"]): r["item_no"] for r in positions.with_item_no(frame, ["g"], "id", range_rows=100).collect()}
+    sizes = [r["count"] for r in positions.in_ranges(frame, ["g"], "id").groupBy("_part").count().collect()]
+    assert len(sizes) >= many_tasks - 2 and max(sizes) <= 3 * len(rows) / many_tasks
+    got = {(r["g"], r["id"]): r["item_no"] for r in positions.with_item_no(frame, ["g"], "id").collect()}
+    assert len(got) == len(rows)
     for g in ("big", "small", None):
         for k, i in enumerate(sorted(i for h, i in rows if h == g)):
             assert got[g, i] == k
 
 
-def test_ranges_are_found_among_many_splitters(spark):
-    frame = spark.range(30_000).select(F.lit(0).alias("g"), (F.col("id") * 3).alias("id"))
-    ranged = positions.with_range(frame, ["g"], "id", range_rows=5)
-    assert ranged.select("_range").distinct().count() > 3000
-    falls = ranged.selectExpr("id", "_range", "lag(_range) over (order by id) as before").where("_range < before").count()
-    assert falls == 0
+def test_the_only_window_runs_over_tasks(spark, many_tasks):
+    numbered = positions.with_item_no(spark.range(5000).select(F.lit("g").alias("g"), "id"), ["g"], "id")
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Window", 1)[1]
+    assert plan.count("+- Window") == 1 and "Aggregate [g" in below and "row_number" not in plan
 
 
 def test_nothing_to_number(spark):
