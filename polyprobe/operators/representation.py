@@ -6,9 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
+
+from polyprobe.functions import vectors as V
+from polyprobe.operators import tiles as tl
+from polyprobe.operators.layout import materialize
+
 
 def mean_pool(hidden: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """Mean vector over token positions."""
@@ -16,115 +22,152 @@ def mean_pool(hidden: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame
         vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias(vec))
 
 
-def gram_rows(df: DataFrame, group: list[str], vec: str = "vec") -> DataFrame:
-    """Rows of X'X per group, for X with a leading column of ones.
+def _means(df: DataFrame, group: list[str], vec: str) -> DataFrame:
+    """(group..., n, mean) of the vectors that are not null."""
+    known = df.where(F.col(vec).isNotNull())
+    return known.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("mean"))
 
-    Row 0 is [n, column sums], row i is [sum_i, products with column i].  The
-    vectors stay where they are: each task sorts its own rows by group, keeps
-    one matrix at a time, and only these width x width sums are shuffled.
-    """
-    schema = T.StructType([
-        *[df.schema[g] for g in group],
-        T.StructField("i", T.IntegerType()),
-        T.StructField("row", T.ArrayType(T.DoubleType())),
-    ])
-    names = list(group)
-
-    def emit(key: tuple, total: np.ndarray) -> pd.DataFrame:
-        out = pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "row": list(total)})
-        for name, part in zip(names, key):
-            out[name] = part
-        return out[schema.names]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, total = None, None
-        for batch in batches:
-            if not len(batch):
-                continue
-            parts = batch.groupby(names, sort=False, dropna=False) if names else [((), batch)]
-            for key, part in parts:
-                x = np.stack(part["_vec"].to_list()).astype(np.float64)
-                x = np.hstack([np.ones((len(x), 1)), x])
-                if total is not None and key != current:
-                    yield emit(current, total)
-                    total = None
-                current = key
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield emit(current, total)
-
-    rows = df.select(*group, F.col(vec).alias("_vec"))
-    rows = rows.sortWithinPartitions(*group) if group else rows
-    return (
-        rows.mapInPandas(partial, schema).groupBy(*group, "i")
-        .agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
-    )
 
+def covariance_matrix(df: DataFrame, group: list[str], vec: str = "vec", block: int = tl.GRAM_BLOCK) -> DataFrame:
+    """(group..., i, j, cov) over all stacked vectors of a group; NaN for a single vector.
 
-def _centred_rows(df: DataFrame, group: list[str], vec: str) -> DataFrame:
-    """``gram_rows`` of the vectors less their group's mean, with that mean as ``mean``.
-
-    Products of centred vectors do not cancel where means are large.
+    The vectors less their group's mean, so that products do not cancel where
+    means are large, summed in tiles where they lie.
     """
-    means = df.groupBy(*group).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("mean"))
+    means = materialize(_means(df, group, vec), "means")
     centred = df.join(means, group).select(
         *group, F.zip_with(F.col(vec).cast("array<double>"), "mean", lambda x, m: x - m).alias("_centred"))
-    return gram_rows(centred, group, "_centred").join(means, group)
-
-
-def _moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and sample covariance from the centred rows of one group; NaN for a single vector."""
-    full = np.stack(rows.sort_values("i")["row"].to_list())
-    n, rest = full[0, 0], full[0, 1:] / full[0, 0]
-    mean = np.asarray(rows["mean"].iloc[0], dtype=np.float64) + rest
-    scatter = full[1:, 1:] - n * np.outer(rest, rest)
-    return mean, scatter / (n - 1) if n > 1 else np.full_like(scatter, np.nan)
-
-
-def covariance_matrix(df: DataFrame, group: list[str], vec: str = "vec") -> DataFrame:
-    """(group..., i, j, cov) over all stacked vectors of a group."""
-    schema = T.StructType([
-        *[df.schema[g] for g in group], T.StructField("i", T.IntegerType()),
-        T.StructField("j", T.IntegerType()), T.StructField("cov", T.DoubleType()),
-    ])
-
-    def cells(rows: pd.DataFrame) -> pd.DataFrame:
-        _, cov = _moments(rows)
-        i, j = np.indices(cov.shape)
-        out = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "cov": cov.ravel()})
-        for g in group:
-            out[g] = rows[g].iloc[0]
-        return out[schema.names]
-
-    # One group holds a width x width matrix, never the vectors behind it.
-    return _centred_rows(df, group, vec).groupBy(*group).applyInPandas(cells, schema)
-
-
-def principal_components(df: DataFrame, group: list[str], k: int, vec: str = "vec") -> DataFrame:
+    cells = tl.tile_cells(tl.gram_tiles(centred, group, "_centred", block), group, "_sum", block)
+    cov = F.when(F.col("n") > 1, F.col("_sum") / (F.col("n") - 1)).otherwise(F.lit(float("nan")))
+    return cells.join(means.select(*group, "n"), group).select(*group, "i", "j", cov.alias("cov"))
+
+
+#: Directions tried at once, directions kept before a restart, and rounds at most.
+KRYLOV_BLOCK, KRYLOV_BASIS, KRYLOV_ROUNDS = 64, 512, 60
+#: A component is found when what C moves it by, besides stretching it, is this small beside the largest variance.
+KRYLOV_TOLERANCE = 1e-11
+
+
+def _orthonormal(y: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """What ``y`` adds to an orthonormal basis, as orthonormal columns; directions already there go."""
+    size = np.linalg.norm(y, axis=0)
+    y = y[:, size > 0] / size[size > 0]
+    for _ in range(2):
+        y = y - basis @ (basis.T @ y)
+    u, s, _ = np.linalg.svd(y, full_matrices=False)
+    return u[:, : min(int((s > 1e-10).sum()), len(basis) - basis.shape[1])]
+
+
+def _vectors_of(flat: list[float], width: int) -> np.ndarray:
+    return np.asarray(flat, np.float64).reshape(width, -1)
+
+
+def _advanced(n: int, basis: np.ndarray, image: np.ndarray, tried: np.ndarray, sums: np.ndarray, k: int):
+    """One round of block Krylov: basis and image grown by what was tried, and the best k directions in their span."""
+    basis, image = np.hstack([basis, tried]), np.hstack([image, sums / max(n - 1, 1)])
+    small = basis.T @ image
+    values, mix = np.linalg.eigh((small + small.T) / 2)
+    values, mix = values[::-1], mix[:, ::-1]
+    k = min(k, len(values))
+    top, moved = basis @ mix[:, :k], image @ mix[:, :k]
+    miss = np.linalg.norm(moved - top * values[:k], axis=0).max(initial=0.0)
+    done = basis.shape[1] >= len(basis) or miss <= KRYLOV_TOLERANCE * max(values[0], np.finfo(float).tiny)
+    fresh = np.zeros((len(basis), 0)) if done else _orthonormal(image[:, -tried.shape[1]:], basis)
+    if basis.shape[1] + fresh.shape[1] > KRYLOV_BASIS:
+        keep = min(len(values), max(2 * k, KRYLOV_BLOCK))
+        basis, image = basis @ mix[:, :keep], image @ mix[:, :keep]
+    return basis, image, fresh, top, values[:k]
+
+
+def principal_components(
+    df: DataFrame, group: list[str], k: int, vec: str = "vec", block: int = KRYLOV_BLOCK, seed: int = 0
+) -> DataFrame:
     """One row per group: mean, loadings (k x width) and variances.
 
-    The sign of a loading is fixed so that its largest entry is positive.
+    Block Krylov iteration from random directions.  In a round every task
+    multiplies its own centred vectors by the directions on trial, twice and
+    without forming a covariance matrix; width x block sums are added up per
+    group, and a small problem in the span of all directions tried gives the
+    components.  The rounds end when every group's components stand still,
+    which is after one round for vectors no wider than ``block``.  Only the
+    number of groups still open reaches the driver.  ``df`` is read once per
+    round, so pass a table.  The sign of a loading is fixed so that its
+    largest entry is positive; any basis spans a single vector.
     """
-    schema = T.StructType([
-        *[df.schema[g] for g in group],
-        T.StructField("mean", T.ArrayType(T.DoubleType())),
-        T.StructField("loadings", T.ArrayType(T.ArrayType(T.DoubleType()))),
-        T.StructField("variances", T.ArrayType(T.DoubleType())),
-    ])
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        mean, cov = _moments(rows)
-        # A single vector has no directions of variance; any basis spans it.
-        values, vectors = np.linalg.eigh(np.nan_to_num(cov))
-        order = np.argsort(values)[::-1][:k]
-        top = vectors[:, order].T
-        peak = top[np.arange(len(top)), np.abs(top).argmax(axis=1)]
-        top = top * np.where(peak < 0, -1.0, 1.0)[:, None]
-        row = {g: rows[g].iloc[0] for g in group}
-        row |= {"mean": mean.tolist(), "loadings": [t.tolist() for t in top], "variances": values[order].tolist()}
-        return pd.DataFrame([row], columns=schema.names)
-
-    return _centred_rows(df, group, vec).groupBy(*group).applyInPandas(solve, schema)
+    rows = df.where(F.col(vec).isNotNull()).select(*group, V.as_double(F.col(vec)).alias("_vec"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_vec").schema)
+    state_type = (kinds + "n bigint, mean array<double>, basis array<double>, image array<double>, tried array<double>, "
+                  "loadings array<array<double>>, variances array<double>")
+
+    def start(table: pd.DataFrame) -> pd.DataFrame:
+        width = len(table["mean"].iloc[0])
+        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(block, width))))
+        empty = [np.zeros(0)]
+        return table.assign(basis=empty, image=empty, tried=[q.ravel()], loadings=[[]], variances=empty)
+
+    state = materialize(_means(df, group, vec).groupBy(*group).applyInPandas(start, state_type), "components")
+    for _ in range(KRYLOV_ROUNDS):
+        files = state.inputFiles()
+        ordered = rows.sortWithinPartitions(*group) if group else rows
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            open_groups = {}
+            for path in files:
+                for r in tl.read_tile(path).select([*group, "mean", "tried"]).to_pylist():
+                    if r["tried"]:
+                        mean = np.asarray(r["mean"])
+                        open_groups[tuple(r[g] for g in group)] = (mean, _vectors_of(r["tried"], len(mean)))
+            current, total, types = None, None, []
+
+            def emit() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [*[pa.array([v], t) for v, t in zip(current, types)], pa.array([total.ravel()], pa.list_(pa.float64()))],
+                    names=[*group, "sums"])
+
+            for batch in batches:
+                types = [batch.schema.field(g).type for g in group]
+                for key, part in tl.runs(batch, group):
+                    if total is not None and key != current:
+                        yield emit()
+                        total = None
+                    if key not in open_groups:
+                        continue
+                    mean, tried = open_groups[key]
+                    for at in range(0, part.num_rows, max(1, tl.BUFFER_BYTES // (8 * len(mean)))):
+                        x = tl.matrix(part.column("_vec").slice(at, max(1, tl.BUFFER_BYTES // (8 * len(mean))))) - mean
+                        own = x.T @ (x @ tried)
+                        total = own if total is None else total + own
+                    current = key
+            if total is not None:
+                yield emit()
+
+        summed = ordered.mapInArrow(products, kinds + "sums array<double>").groupBy(*group).agg(
+            vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+
+        def step(table: pd.DataFrame) -> pd.DataFrame:
+            r = table.iloc[0]
+            if r["sums"] is None or not len(r["tried"]):
+                return table[names]
+            width = len(r["mean"])
+            basis, image, fresh, top, values = _advanced(
+                r["n"], *(_vectors_of(r[c], width) for c in ("basis", "image", "tried", "sums")), k)
+            top = top.T
+            peak = top[np.arange(len(top)), np.abs(top).argmax(axis=1)]
+            top = top * np.where(peak < 0, -1.0, 1.0)[:, None]
+            return table.assign(basis=[basis.ravel()], image=[image.ravel()], tried=[fresh.ravel()],
+                                loadings=[[t.tolist() for t in top]], variances=[values])[names]
+
+        names = [*group, "n", "mean", "basis", "image", "tried", "loadings", "variances"]
+        met = F.lit(True)
+        for g in group:
+            met = met & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        renamed = summed.select(*[F.col(g).alias(f"_g_{g}") for g in group], "sums")
+        state = materialize(state.join(renamed, met, "left").select(*names, "sums").groupBy(*group).applyInPandas(
+            step, state_type), "components")
+        if not state.where(F.size("tried") > 0).limit(1).count():
+            break
+    return state.select(*group, "mean", "loadings", "variances")
 
 
 def project(df: DataFrame, components: DataFrame, group: list[str], vec: str = "vec") -> DataFrame:

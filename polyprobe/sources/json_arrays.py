@@ -32,6 +32,7 @@ from pyspark.sql.datasource import (
 
 from polyprobe.operators.layout import materialize
 from polyprobe.session import scratch_path
+from polyprobe.storage import open_store
 
 FORMAT = "json_array"
 RANGE_BYTES = 64 << 20
@@ -52,13 +53,6 @@ _MARK[list(b"[]{},")] = True
 _BLANK = b" \t\r\n"
 
 
-def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system of a path or URI, and the path in it."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    return pafs.FileSystem.from_uri(path)
-
-
 @dataclass
 class ArrayFile:
     path: str

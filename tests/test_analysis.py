@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from polyprobe.operators import positions, readout, representation as rep, sampling, stats
+from polyprobe.operators import positions, readout, representation as rep, sampling, stats, tiles
 from polyprobe.plans import lens as lp, representation as rp
 from polyprobe.sources import driver_tables as src
 
@@ -90,7 +90,7 @@ def test_readout_is_the_same_in_blocks_and_with_any_ids(spark, sf_dir):
         x = u @ (z / np.sqrt((z * z).mean() + 1e-6) * np.array(src.NORM_WEIGHT))
         p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
         want[r["lang"], r["item_no"]] = (len(u), x.min(), x.max(), x.mean(), int(x.argmax()), -(p * np.log2(p)).sum())
-    small = {"max_broadcast_bytes": 0, "block_bytes": 64 * 8 * 7, "rows_per_group": 30}
+    small = {"tile_bytes": 64 * 8 * 7, "buffer_bytes": 64 * 8 * 30}
     for rows, shift in ((matrix, lambda i: i), (gapped, lambda i: 3 * i - 700)):
         for sizes in ({}, small):
             got = readout.readout_logits(latents, keys, rows, src.NORM_WEIGHT, **sizes).collect()
@@ -119,10 +119,34 @@ def test_gram_and_energy_equal_the_direct_form(spark, sf_dir):
         assert np.isclose(r["energy"], np.sqrt(((u @ v) ** 2).mean()) / scale)
 
 
-def test_oversized_gram_is_refused(spark, sf_dir):
+def test_energy_is_the_same_in_tiles_of_any_size(spark, sf_dir):
     rows = readout.unembed_normalized(src.unembed(spark, sf_dir), src.NORM_WEIGHT)
-    with pytest.raises(ValueError):
-        readout.layer_energy(rows, ["token_id"], rows, max_gram_bytes=1000)
+    latents = src.latents(spark, sf_dir, src.labelled(spark, sf_dir).select("doc_id", "lang", "item_no"), [2]).select("doc_id", "vec")
+    whole = {r["doc_id"]: r["energy"] for r in readout.layer_energy(latents, ["doc_id"], rows).collect()}
+    # Blocks that do not divide the width, one tile per file, few latents at a time.
+    cut = readout.layer_energy(latents, ["doc_id"], rows, block=23, tile_bytes=1, buffer_bytes=64 * 8 * 9).collect()
+    assert len(cut) == len(whole) and all(np.isclose(r["energy"], whole[r["doc_id"]], rtol=1e-12) for r in cut)
+
+
+def test_tiles_of_any_size_give_the_same_gram(spark):
+    x = np.random.default_rng(3).normal(size=(300, 19))
+    rows = [(None if k % 3 else "g", v.tolist()) for k, v in enumerate(x)] + [("one", x[0].tolist()), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, vec array<double>").repartition(4)
+    for block, hold in ((512, 1 << 20), (5, 1 << 20), (5, 0)):
+        cells = tiles.tile_cells(tiles.gram_tiles(frame, ["g"], "vec", block, hold), ["g"], "v", block).toPandas()
+        for name, own in (("g", x[::3]), (None, np.delete(x, np.s_[::3], 0)), ("one", x[:1])):
+            part = cells[cells.g.isna() if name is None else cells.g == name]
+            assert np.allclose(part.pivot(index="i", columns="j", values="v").to_numpy(), own.T @ own)
+
+
+def test_latents_do_not_move_for_the_readout(spark, sf_dir):
+    """Whatever the size of the matrix, the readout adds no exchange to its latents."""
+    latents = spark.range(50).select("id", F.lit([1.0] * 64).alias("vec"))
+    rows = readout.unembed_normalized(src.unembed(spark, sf_dir), src.NORM_WEIGHT)
+    for got in (readout.readout_logits(latents, ["id"], src.unembed(spark, sf_dir), src.NORM_WEIGHT, tile_bytes=1000),
+                readout.layer_energy(latents, ["id"], rows, block=10)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
 
 
 def test_components_equal_numpy(spark, sf_dir):
@@ -141,6 +165,33 @@ def test_components_equal_numpy(spark, sf_dir):
     assert np.allclose(c.var(axis=0, ddof=1), values[:2])
 
 
+@pytest.mark.parametrize("block", [2, 7, 64])
+def test_components_found_in_rounds_equal_the_dense_ones(spark, block):
+    draw = np.random.default_rng(8)
+    x = {"a": draw.normal(size=(400, 60)) * np.linspace(3, 0.1, 60) + 50, "b": draw.normal(size=(9, 60)), None: draw.normal(size=(1, 60))}
+    rows = [(g, v.tolist()) for g, part in x.items() for v in part] + [("b", None)]
+    frame = spark.createDataFrame(rows, "g string, vec array<double>").repartition(3)
+    got = {r["g"]: r for r in rep.principal_components(frame, ["g"], 3, block=block).collect()}
+    for g in ("a", "b"):
+        values, vectors = np.linalg.eigh(np.cov(x[g].T))
+        assert np.allclose(got[g]["variances"], values[::-1][:3], rtol=1e-9)
+        assert np.allclose(np.abs(np.array(got[g]["loadings"]) @ vectors[:, ::-1][:, :3]), np.eye(3), atol=1e-6)
+        assert np.allclose(got[g]["mean"], x[g].mean(axis=0))
+    assert np.allclose(got[None]["variances"], 0)
+
+
+def test_wide_vectors_need_no_square_matrix(spark):
+    """Width 8,192: a dense covariance matrix would be half a gigabyte."""
+    width, n = 8192, 120
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(n, 6)) @ (draw.normal(size=(6, width)) * np.array([9, 7, 5, 3, 2, 1])[:, None]) + draw.normal(size=(n, width)) * 0.01
+    frame = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").withColumn("g", F.lit(1)).repartition(4)
+    (row,) = rep.principal_components(frame, ["g"], 2, block=16).collect()
+    left, size, right = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(row["variances"], size[:2] ** 2 / (n - 1), rtol=1e-6)
+    assert np.allclose(np.abs(np.array(row["loadings"]) @ right[:2].T), np.eye(2), atol=1e-6)
+
+
 def test_pearson_of_a_constant_side_is_null(spark):
     rows = [(i, lang, float(i) if lang == "en" else 1.0) for i in range(5) for lang in ("en", "de")]
     rows += [(i, "fr", -2.0 * i) for i in range(4)]
