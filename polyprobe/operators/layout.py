@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from polyprobe.session import scratch_path
 
@@ -28,3 +28,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of narrow keys that are shipped to the tables they choose from; more meet them by a shuffle.
+MAX_SHIPPED_KEYS = 500_000
+
+
+def shipped_if_small(keys: DataFrame, limit: int = MAX_SHIPPED_KEYS) -> DataFrame:
+    """Mark narrow rows for broadcast if they are few, which is checked by counting up to the limit.
+
+    Evaluation items choose few of many documents; their keys then travel to
+    the texts, and texts that nobody asked for are not moved.
+    """
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys

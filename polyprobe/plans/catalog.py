@@ -590,11 +590,12 @@ def _pairs(spark, sf_dir):
 def translation_pairs(spark, sf_dir):
     """The English item as input, the same item in another language as output; a missing side stays null."""
     pairs = _pairs(spark, sf_dir)
-    texts = src.table(spark, sf_dir, "documents").select("doc_id", "text")
     told = F.concat(F.lit("Say the same in the language "), "lang", F.lit("."))
-    asked = pairs.join(texts.select(F.col("doc_id").alias("source"), F.col("text").alias("input")), "source", "left")
-    both = asked.join(texts.select(F.col("doc_id").alias("target"), F.col("text").alias("output")), "target", "left")
-    return both.select("lang", "item_no", told.alias("instruction"), "input", "output")
+    sides = pairs.select("lang", "item_no", told.alias("instruction"))
+    for side, out in (("source", "input"), ("target", "output")):
+        chosen = src.with_text(spark, sf_dir, pairs.select("lang", "item_no", side).where(F.col(side).isNotNull()), side, out)
+        sides = sides.join(chosen.drop(side), ["lang", "item_no"], "left")
+    return sides
 
 
 @query

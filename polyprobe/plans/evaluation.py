@@ -70,8 +70,9 @@ def with_outputs(spark: SparkSession, sf_dir: str, predicted: DataFrame) -> Data
     Toxic items stand for models that do not follow the format: good ones
     continue with free text, bad ones do not repeat the prompt.
     """
+    texts = src.with_text(spark, sf_dir, src.table(spark, sf_dir, "labels").select("doc_id"), out="input")
     asked = with_prompt(
-        src.with_text(spark, sf_dir, predicted, out="input"),
+        predicted.join(texts, "doc_id"),
         dim.locale_table(spark, [("sentiment", "native")]).drop("label_mode"), "sentiment")
     proper = F.concat("prompt", "pred_word")
     output = (

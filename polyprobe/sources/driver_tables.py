@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from polyprobe import locales, schemas
 from polyprobe.functions import vectors as V
 from polyprobe.operators.candidates import FirstTokenizer, class_table
-from polyprobe.operators.layout import spread
+from polyprobe.operators.layout import shipped_if_small, spread
 from polyprobe.operators.lens import lens_sets
 from polyprobe.operators.positions import with_item_no
 from polyprobe.sources import dimensions as dim
@@ -123,8 +123,9 @@ def with_answer(spark: SparkSession, keys: DataFrame, task: str, cls: Column) ->
 
 
 def with_text(spark: SparkSession, sf_dir: str, keys: DataFrame, key: str = "doc_id", out: str = "text") -> DataFrame:
+    """Add the whole text of the document ``key`` names; ``keys`` are narrow rows."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(key), F.col("text").alias(out))
-    return keys.join(docs, key)
+    return docs.join(shipped_if_small(keys), key)
 
 
 CLASS_OF = {"sentiment": sentiment_class, "nli": nli_class}
@@ -167,8 +168,11 @@ def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = with_text(spark, sf_dir, pair_keys(spark, sf_dir), "doc_id", "sentence1")
-    return with_text(spark, sf_dir, first, "next_id", "sentence2")
+    """Both texts are chosen by narrow keys; only chosen texts move to meet each other."""
+    keys = pair_keys(spark, sf_dir)
+    first = with_text(spark, sf_dir, keys, "doc_id", "sentence1")
+    second = with_text(spark, sf_dir, keys.select(F.col("doc_id").alias("first_id"), "next_id"), "next_id", "sentence2")
+    return first.join(second.select(F.col("first_id").alias("doc_id"), "sentence2"), "doc_id")
 
 
 def lens_items(spark: SparkSession, sf_dir: str) -> DataFrame:
