@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from polyprobe.functions import vectors as V
@@ -17,9 +18,9 @@ _CELLS = 1 << 22
 _DRAWS = float(2**60)
 
 
-def _matrices(logits: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def matrices(logits: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of equal width as matrices of bounded size, with their places; null and empty rows are left out."""
-    size = pa.compute.fill_null(pa.compute.list_value_length(logits), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.list_value_length(logits), 0).to_numpy(zero_copy_only=False)
     flat = logits.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     for width in np.unique(size[size > 0]):
@@ -62,7 +63,7 @@ def _top_rows(k: int) -> Callable:
         for logits in batches:
             found = np.full((len(logits), k), -1, np.int64)
             share = np.full((len(logits), k), np.nan)
-            for rows, x in _matrices(logits):
+            for rows, x in matrices(logits):
                 ids = _top(x, k)
                 w = _weights(x)
                 found[rows, : ids.shape[1]] = ids
@@ -97,7 +98,7 @@ def _drawn(temperature: float) -> Callable:
         for logits, draws in batches:
             token = np.full(len(logits), -1, np.int64)
             u = (draws.to_numpy(zero_copy_only=False).astype(np.float64) + 0.5) / _DRAWS
-            for rows, x in _matrices(logits):
+            for rows, x in matrices(logits):
                 upto = np.cumsum(_weights(x / temperature), axis=1)
                 # The first token whose running sum passes the draw: all sums up to there are not above it.
                 at = (upto <= (u[rows] * upto[:, -1])[:, None]).sum(axis=1)

@@ -369,6 +369,19 @@ def layer_entropy(spark, sf_dir):
     return lp.all_item_entropy(spark, sf_dir).select(*lp.ITEM_KEYS, r6("entropy").alias("entropy"))
 
 
+@query
+def wide_entropy(spark, sf_dir):
+    """All layers of an item side by side as one distribution over 512 tokens, with the mass of each layer's share."""
+    items = src.labelled(spark, sf_dir).select("doc_id", "lang", "item_no")
+    vectors = src.latents(spark, sf_dir, items).groupBy("lang", "item_no").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("layer", "vec"))), lambda s: s["vec"])).alias("logits"))
+    shares = F.lit([list(range(k * src.WIDTH, (k + 1) * src.WIDTH)) for k in (0, src.LAST_LAYER)])
+    scored = scoring.score_summary(vectors, shares, width=src.N_LAYERS * src.WIDTH)
+    return scored.select("lang", "item_no", r6("summary.entropy").alias("entropy"), "summary.argmax_id",
+                         r6(F.get("summary.masses", F.lit(0))).alias("first_mass"),
+                         r6(F.get("summary.masses", F.lit(1))).alias("last_mass"))
+
+
 @query
 def layer_mass_gold(spark, sf_dir):
     return lp.metrics(spark, sf_dir).select(

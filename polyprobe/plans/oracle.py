@@ -469,6 +469,14 @@ def oracle_sql() -> dict[str, str]:
       JOIN usable o ON o.family = l.family AND o.lang = l.lang AND o.class = l.class
       JOIN usable e ON e.family = l.family AND e.lang = 'en' AND e.class = l.class""")
     q["layer_entropy"] = _with(_SCORED, f"SELECT {_CUT_TYPED}, {r6('entropy')} entropy FROM entropies")
+    q["wide_entropy"] = _with(_SCORED, f"""
+      , wide AS (
+        SELECT lang, item_no, layer, layer * {src.WIDTH} + unnest(range(0, {src.WIDTH})) token_id, unnest(embedding)::double x FROM latents),
+      weighed AS (SELECT *, x - max(x) OVER (PARTITION BY lang, item_no) d, exp(x - max(x) OVER (PARTITION BY lang, item_no)) w FROM wide)
+      SELECT lang, item_no, {r6('(ln(sum(w)) - sum(w * d) / sum(w)) / ln(2)')} entropy,
+        arg_max(token_id, (x, -token_id))::int argmax_id, {r6('sum(CASE WHEN layer = 0 THEN w ELSE 0 END) / sum(w)')} first_mass,
+        {r6(f'sum(CASE WHEN layer = {src.LAST_LAYER} THEN w ELSE 0 END) / sum(w)')} last_mass
+      FROM weighed GROUP BY lang, item_no""")
     q["layer_mass_gold"] = _with(_LENSED, f"SELECT {_CUT_TYPED}, {r6('latent_mass')} latent_mass, {r6('out_mass')} out_mass FROM lens_metrics")
     q["layer_mass_any"] = _with(_LENSED, f"SELECT {_CUT_TYPED}, {r6('any_latent_mass')} any_latent_mass, {r6('any_out_mass')} any_out_mass FROM lens_metrics")
     q["entropy_profile"] = _with(_SCORED, f"SELECT run_id, lang, layer::int layer, {r6('avg(entropy)')} entropy FROM entropies GROUP BY run_id, lang, layer")

@@ -107,6 +107,15 @@ def test_equal_maxima_take_the_lowest_id(spark):
     assert all(rows[0]["argmax_id"] == 1 for rows in got.values())
 
 
+def test_rows_without_logits_and_unknown_ids(spark):
+    """Rows of several widths in one batch."""
+    got = _summaries(spark, [[1.0, 2.0], None, [], [0.0], [3.0, 2.0, 1.0]], [[0], [1], []])
+    for rows in got.values():
+        assert rows[1] is None and rows[2] is None
+        assert rows[3]["masses"] == [1.0, None, 0.0] and rows[3]["entropy"] == 0.0
+        assert math.isclose(sum(rows[0]["masses"]), 1.0) and rows[4]["argmax_id"] == 0
+
+
 def test_softmax_sums_to_one(spark):
     df = spark.createDataFrame([([1000.0, 999.0, -1000.0],)], "logits array<double>")
     probs = df.select(scoring.softmax(F.col("logits")).alias("p")).first()["p"]
