@@ -68,13 +68,14 @@ def with_outputs(spark: SparkSession, sf_dir: str, predicted: DataFrame) -> Data
     """Sentiment predictions as full model outputs, prompt included.
 
     Toxic items stand for models that do not follow the format: good ones
-    continue with free text, bad ones do not repeat the prompt.
+    continue with free text, bad ones do not repeat the prompt.  Without a
+    prediction the model says nothing.
     """
     texts = src.with_text(spark, sf_dir, src.table(spark, sf_dir, "labels").select("doc_id"), out="input")
     asked = with_prompt(
         predicted.join(texts, "doc_id"),
         dim.locale_table(spark, [("sentiment", "native")]).drop("label_mode"), "sentiment")
-    proper = F.concat("prompt", "pred_word")
+    proper = F.concat("prompt", F.coalesce("pred_word", F.lit("")))
     output = (
         F.when(F.col("toxic") == 0, proper)
         .when(F.col("quality") == 1, F.concat("prompt", "input"))

@@ -455,11 +455,24 @@ def oracle_sql() -> dict[str, str]:
         SELECT family, task, label_mode, lang, count(*) FILTER (n = classes)::int n_shared_ids FROM (
           SELECT family, task, label_mode, lang, token_id, count(*) n FROM cand GROUP BY ALL) x
         JOIN (SELECT task, label_mode, lang, count(*) classes FROM words GROUP BY ALL) y USING (task, label_mode, lang)
-        GROUP BY ALL)
-      SELECT a.task, a.label_mode, a.lang, a.run_id, count(*) n_items, count(*) FILTER (is_tie) n_ties, 0::bigint n_invalid,
+        GROUP BY ALL),
+      hurt AS (
+        SELECT run_id, task, label_mode, lang, item_no, doc_id, item_no % 10 = 3 is_invalid, is_tie AND item_no % 10 <> 3 is_tie,
+          CASE WHEN item_no % 10 = 7 THEN '' ELSE answer END answer, CASE WHEN item_no % 10 = 3 THEN '' ELSE pred_word END pred_word
+        FROM predicted WHERE task = 'sentiment' AND label_mode = 'native'),
+      hurt_outputs AS (
+        SELECT h.*, q.prompt, CASE WHEN toxic = 0 THEN q.prompt || pred_word WHEN quality = 1 THEN q.prompt || i.text
+          ELSE '# ' || q.prompt || pred_word END output
+        FROM hurt h JOIN labelled i USING (doc_id) JOIN prompts q ON q.doc_id = h.doc_id AND q.label_mode = 'native'),
+      hurt_answers AS (
+        SELECT *, starts_with(output, prompt) is_prefix, substring(output, length(prompt) + 1) answer_text FROM hurt_outputs),
+      hurt_said AS (
+        SELECT a.run_id, a.lang, a.item_no, min(w.class) said_class FROM hurt_answers a JOIN words w ON w.task = 'sentiment'
+        AND w.label_mode = 'native' AND w.lang = a.lang AND starts_with(a.answer_text, w.word) GROUP BY ALL)
+      SELECT a.task, a.label_mode, a.lang, a.run_id, count(*) n_items, count(*) FILTER (is_tie) n_ties, count(*) FILTER (is_invalid) n_invalid,
         count(*) FILTER (s.said_class IS NULL) n_wrong_format, count(*) FILTER (NOT is_prefix) n_prefix_errors,
         count(*) FILTER (a.answer = '') n_gold_empty, any_value(h.n_shared_ids) n_shared_ids
-      FROM answers a LEFT JOIN said s USING (run_id, lang, item_no) JOIN runs r ON r.run_id = a.run_id
+      FROM hurt_answers a LEFT JOIN hurt_said s USING (run_id, lang, item_no) JOIN runs r ON r.run_id = a.run_id
       JOIN shared h ON h.family = r.family AND h.task = a.task AND h.label_mode = a.label_mode AND h.lang = a.lang
       GROUP BY a.task, a.label_mode, a.lang, a.run_id""")
 
