@@ -12,7 +12,10 @@ so no result is invalid and none has to be retried:
 * card numbers (13-19 digits, Luhn): all digits but the last, which is recomputed
 * IPv4 addresses: two 16-bit halves
 * social security numbers: 898 areas x 99 groups by 9,999 serials
-* dates: the 146,097 = 189 x 773 days of 1700-01-01 to 2099-12-31
+* dates: the 146,097 = 189 x 773 days of 1700-01-01 to 2099-12-31; dates with
+  "/" that only read day first stay among those, so that no pseudonym reads
+  both ways: days 13 to 28 by 4,800 months, days 29, 30 and 31 by the years and
+  the months that have them, 29 February by the 97 leap years
 
 Numbers and dates that fail validation are left as they are.
 """
@@ -151,6 +154,30 @@ def _ssn(m: Column, key: str) -> Column:
     return _bound(F.split(m, "-"), run)
 
 
+_FIRST_YEAR = int(_FIRST_DAY[:4])
+_LEAP_YEARS = [y for y in range(_FIRST_YEAR, _FIRST_YEAR + 400) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+_MONTHS_WITH = {29: [1, *range(3, 13)], 30: [1, *range(3, 13)], 31: [1, 3, 5, 7, 8, 10, 12]}
+
+
+def _late_day(day: Column, key: str) -> Column:
+    """Permutation of the dates after the twelfth of their month among themselves."""
+    y, m, d = F.year(day) - _FIRST_YEAR, F.month(day), F.dayofmonth(day)
+    early = _bound(permuted_pair(y * 12 + m - 1, d - 13, 4800, 16, key + "date28"), lambda q: F.make_date(
+        (F.floor(q["a"] / 12) + _FIRST_YEAR).cast("int"), (q["a"] % 12 + 1).cast("int"), (q["b"] + 13).cast("int")))
+    leap = F.lit(_LEAP_YEARS)
+    moved = F.when(d <= 28, early).when((d == 29) & (m == 2), _bound(
+        permuted_pair(F.array_position(leap, F.year(day)) - 1, F.lit(0), len(_LEAP_YEARS), 1, key + "date2"),
+        lambda q: F.make_date(F.get(leap, q["a"].cast("int")), F.lit(2), F.lit(29))))
+
+    def on(last: int, months: list[int]) -> Callable[[Column], Column]:
+        return lambda q: F.make_date((q["a"] + _FIRST_YEAR).cast("int"), F.get(F.lit(months), q["b"].cast("int")), F.lit(last))
+
+    for last, months in _MONTHS_WITH.items():
+        pair = permuted_pair(y, F.array_position(F.lit(months), m) - 1, 400, len(months), f"{key}date{last}")
+        moved = moved.when(d == last, _bound(pair, on(last, months)))
+    return moved
+
+
 def _date(m: Column, key: str) -> Column:
     def run(p: Column) -> Column:
         mark = F.regexp_extract(m, r"\D", 0)
@@ -164,8 +191,9 @@ def _date(m: Column, key: str) -> Column:
         day_first = (mark == ".") | ((mark == "/") & us.isNull())
         at = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
         pair = permuted_pair(F.floor(at / _DAYS[1]), at % _DAYS[1], *_DAYS, key + "date")
-        new = _bound(pair, lambda q: F.date_add(F.lit(_FIRST_DAY).cast("date"),
-                                                (q["a"] * _DAYS[1] + q["b"]).cast("int")))
+        any_day = _bound(pair, lambda q: F.date_add(F.lit(_FIRST_DAY).cast("date"),
+                                                    (q["a"] * _DAYS[1] + q["b"]).cast("int")))
+        new = F.when((mark == "/") & us.isNull(), _late_day(day, key)).otherwise(any_day)
 
         def shown(d: Column) -> Column:
             wide = (F.length(p[0]) == 2) & (F.length(p[1]) == 2)
@@ -220,8 +248,8 @@ def pseudonymise(text: Column, key: str) -> Column:
         return _bound(found, both)
 
     clean = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n_replaced"))
-    # Only texts that hold a match are taken apart.
-    return F.when(F.coalesce(text.rlike("[0-9@]|[=:]") & text.rlike(_ANY), F.lit(False)), _bound(text, run)) \
+    # Only texts that hold a match are taken apart; every kind holds one of these signs.
+    return F.when(F.coalesce(text.rlike("[0-9@=:]|AKIA") & text.rlike(_ANY), F.lit(False)), _bound(text, run)) \
         .otherwise(clean)
 
 
