@@ -56,7 +56,7 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch.column(1), 1 << 22):
+            for part in slices(batch.column(1)):
                 found = words(part)
                 prefix, suffix, _ = _grams(found.hash, found.first, order)
                 if not len(prefix):
@@ -140,8 +140,8 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
             release(spark)
             terms = grams.select("h", (F.col("s") - log_b - F.col("below")).alias("term"))
         lower = grams
-        # The count table is the hashed side of the join; documents stream past it.
-        per_doc = _per_document(rows, k).join(terms.hint("shuffle_hash"), "h") \
+        # Sorted on both sides: neither is held in memory, and a common n-gram's rows can be split.
+        per_doc = _per_document(rows, k).join(terms.hint("merge"), "h") \
             .groupBy("doc_id").agg(F.sum(F.col("n") * F.col("term")).alias("part"), F.sum("n").alias("n"))
         sums.append(stored(per_doc.select("doc_id", "part", F.lit(k).alias("k"), "n"), f"sums{k}"))
         del per_doc
@@ -173,19 +173,26 @@ def _room(order: int):
     return run
 
 
-#: The same for order 2 and distinct ids, on DuckDB.
+#: The same for order 3 and distinct ids, on DuckDB.
 ORACLE_SQL = r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split),
+words AS (
+  SELECT doc_id, w, i, lag(w) OVER before AS p, lag(w, 2) OVER before AS q
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split) AS listed
+  WINDOW before AS (PARTITION BY doc_id ORDER BY i)),
 c1 AS (SELECT w, count(*) AS c FROM words GROUP BY w),
 n AS (SELECT count(*) AS n FROM words),
-pairs AS (SELECT b.doc_id, a.w AS p, b.w FROM words b LEFT JOIN words a ON a.doc_id = b.doc_id AND a.i = b.i - 1),
-c2 AS (SELECT p, w, count(*) AS c FROM pairs WHERE p IS NOT NULL GROUP BY p, w),
+c2 AS (SELECT p, w, count(*) AS c FROM words WHERE p IS NOT NULL GROUP BY p, w),
+c3 AS (SELECT q, p, w, count(*) AS c FROM words WHERE q IS NOT NULL GROUP BY q, p, w),
 scored AS (
-  SELECT pairs.doc_id, CASE WHEN pairs.p IS NOT NULL AND c2.c > 1 THEN ln((c2.c - 1) / (cp.c - 1))
-    ELSE CASE WHEN pairs.p IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(c1.c - 1, 0.5) / n.n) END AS s
-  FROM pairs JOIN c1 ON c1.w = pairs.w CROSS JOIN n LEFT JOIN c1 cp ON cp.w = pairs.p
-  LEFT JOIN c2 ON c2.p = pairs.p AND c2.w = pairs.w)
+  SELECT words.doc_id, CASE WHEN words.q IS NOT NULL AND c3.c > 1 THEN ln((c3.c - 1) / (cqp.c - 1))
+    ELSE CASE WHEN words.q IS NULL THEN 0 ELSE ln(0.4) END
+      + CASE WHEN words.p IS NOT NULL AND c2.c > 1 THEN ln((c2.c - 1) / (cp.c - 1))
+        ELSE CASE WHEN words.p IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(c1.c - 1, 0.5) / n.n) END END AS s
+  FROM words JOIN c1 ON c1.w = words.w CROSS JOIN n LEFT JOIN c1 cp ON cp.w = words.p
+  LEFT JOIN c2 ON c2.p = words.p AND c2.w = words.w
+  LEFT JOIN c2 cqp ON cqp.p = words.q AND cqp.w = words.p
+  LEFT JOIN c3 ON c3.q = words.q AND c3.p = words.p AND c3.w = words.w)
 SELECT split.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(t.s, 0), 3) AS log_score
 FROM split LEFT JOIN (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id) t ON t.doc_id = split.doc_id
 """

@@ -20,7 +20,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm_scoring.score(table(spark, sf_dir, "documents"), order=2)
+    found = lm_scoring.score(table(spark, sf_dir, "documents"), order=3)
     return found.withColumn("log_score", F.round("log_score", 3))
 
 
