@@ -28,6 +28,8 @@ from polyprobe.llm.common import batch_of, mixed, release, signed, slices, store
 
 BACKOFF = 0.4
 UNSEEN = 0.5
+#: Size of the field that keeps n-grams which occur once from being shuffled: 32 MB.
+MAX_FIELD_BITS = 28
 
 
 def joined_hash(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -50,8 +52,31 @@ def _grams(hashes: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarra
     return prefix, suffix, row
 
 
-def _counts(docs: DataFrame, order: int) -> DataFrame:
-    """Corpus counts: (prefix, suffix, c)."""
+class Repeated:
+    """Bit field over hashes of the k-grams that occur again: never false for one of them, rarely true for another.
+
+    8 to 16 bits for each, 2**``MAX_FIELD_BITS`` at most whatever the corpus;
+    a field that is too small lets more through and changes no result.
+    """
+
+    def __init__(self, again: DataFrame):
+        spark = again.sparkSession
+        self.width = min(MAX_FIELD_BITS, max(6, (8 * again.count()).bit_length()))
+        place = F.shiftrightunsigned("h", 64 - self.width)
+        words = again.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+        rows = words.toArrow()
+        field = np.zeros(1 << (self.width - 6), np.uint64)
+        field[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        self.field = spark.sparkContext.broadcast(field)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.width)
+        return (self.field.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _counts(docs: DataFrame, order: int, lower: Repeated | None = None) -> DataFrame:
+    """Corpus counts: (prefix, suffix, c); with ``lower`` only of k-grams both of whose parts may occur again."""
     schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.int64()), ("c", pa.int64())])
 
     def run(batches):
@@ -59,6 +84,9 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
             for part in slices(batch.column(1)):
                 found = words(part)
                 prefix, suffix, _ = _grams(found.hash, found.first, order)
+                if lower is not None:
+                    known = lower.holds(prefix) & lower.holds(suffix)
+                    prefix, suffix = prefix[known], suffix[known]
                 if not len(prefix):
                     continue
                 by = np.lexsort((suffix, prefix)) if order > 1 else np.argsort(prefix)
@@ -71,8 +99,8 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
         .groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
 
 
-def _per_document(docs: DataFrame, order: int) -> DataFrame:
-    """Distinct k-grams of each document: (h, doc_id, n)."""
+def _per_document(docs: DataFrame, order: int, wanted: Repeated | None = None) -> DataFrame:
+    """Distinct k-grams of each document: (h, doc_id, n); with ``wanted`` only of those that may occur again."""
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
@@ -82,6 +110,9 @@ def _per_document(docs: DataFrame, order: int) -> DataFrame:
                 found = words(part)
                 prefix, suffix, row = _grams(found.hash, found.first, order)
                 gram = prefix if order == 1 else joined_hash(prefix, suffix)
+                if wanted is not None:
+                    known = wanted.holds(gram)
+                    gram, row = gram[known], row[known]
                 by = np.lexsort((gram, row))
                 g, r = gram[by], row[by]
                 starts = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool),
@@ -118,8 +149,9 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     log_b = math.log(BACKOFF)
     sums = []
     lower = None  # scores of the order below: h, c, s
+    repeated = None  # its n-grams that occur again
     for k in range(1, order + 1):
-        counts = _counts(rows, k)
+        counts = _counts(rows, k, repeated)
         if k == 1:
             counts = stored(counts, "unigrams")
             total = counts.agg(F.sum("c")).first()[0] or 1
@@ -127,6 +159,7 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
             grams = counts.select(F.col("prefix").alias("h"), "c",
                                   F.log(F.greatest(F.col("c") - 1, F.lit(UNSEEN)) / total).alias("s"))
             terms = grams.select("h", F.col("s").alias("term"))
+            repeated = Repeated(grams.where("c > 1"))
         else:
             again = stored(counts.where("c > 1"), "ngrams")
             release(spark)
@@ -139,9 +172,10 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
             del counts, again, known
             release(spark)
             terms = grams.select("h", (F.col("s") - log_b - F.col("below")).alias("term"))
+            repeated = Repeated(grams)
         lower = grams
         # Sorted on both sides: neither is held in memory, and a common n-gram's rows can be split.
-        per_doc = _per_document(rows, k).join(terms.hint("merge"), "h") \
+        per_doc = _per_document(rows, k, repeated if k > 1 else None).join(terms.hint("merge"), "h") \
             .groupBy("doc_id").agg(F.sum(F.col("n") * F.col("term")).alias("part"), F.sum("n").alias("n"))
         sums.append(stored(per_doc.select("doc_id", "part", F.lit(k).alias("k"), "n"), f"sums{k}"))
         del per_doc
