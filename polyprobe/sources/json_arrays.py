@@ -38,6 +38,8 @@ FORMAT = "json_array"
 RANGE_BYTES = 64 << 20
 #: Bytes held at a time by a task, and items handed over at a time.
 _PIECE, _BATCH_BYTES = 4 << 20, 4 << 20
+#: Items a writing task turns into Python strings at a time.
+_ROWS = 512
 # <task>_<lang><rows>_test.json
 _FILE_NAME = re.compile(r"([A-Za-z]+)_([a-z]{2})(\d*)_test\.json$")
 
@@ -376,7 +378,7 @@ def write_json_documents(
         part, attempt = task.partitionId(), task.taskAttemptId()
         name, handle, n, size, made = None, None, 0, 0, []
         store.create_dir(root, recursive=True)
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             runs = groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), key=itemgetter(0))
             for document, run in runs:
                 if document != name or handle is None:
