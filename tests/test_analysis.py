@@ -1,5 +1,7 @@
 """Statistics, linear algebra and representation against numpy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
@@ -72,6 +74,31 @@ def test_bootstrap_interval(spark):
     assert np.isclose(got[1]["y_lower"] - got[0]["y_lower"], 1.0)
 
 
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_products_stay_small_for_a_large_matrix():
+    z, u = np.random.default_rng(0).normal(size=(300, 8)), np.random.default_rng(1).normal(size=(90_000, 8))
+    ids = np.arange(90_000) * 2 - 70_000
+    assert _peak_mb(lambda: readout._Logits.of(z[:40], ids, u)) < 8
+    found = readout._Logits.of(z, ids, u)
+    x = z @ u.T
+    w = np.exp(x - x.max(axis=1, keepdims=True))
+    assert (found.top_id == ids[x.argmax(axis=1)]).all() and found.n_tokens == 90_000
+    assert np.allclose([found.low, found.high, found.total], [x.min(axis=1), x.max(axis=1), x.sum(axis=1)])
+    assert np.allclose([found.weight, found.spread], [w.sum(axis=1), (w * (x - x.max(axis=1, keepdims=True))).sum(axis=1)])
+    equal = readout._Logits.of(z, ids, np.tile(u[:1], (90_000, 1)))
+    assert (equal.top_id == ids[0]).all()
+    lost = readout._Logits.of(z[:2], ids, np.where(np.arange(90_000)[:, None] == 77_777, np.nan, u))
+    assert np.isnan(lost.high).all() and (lost.top_id == np.iinfo(np.int64).max).all()
+
+
 def _vectors(spark, sf_dir):
     pdf = src.unembed(spark, sf_dir).toPandas().sort_values("token_id")
     return np.stack(pdf["u"].to_list()).astype(float)
