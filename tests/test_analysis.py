@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -99,6 +100,11 @@ def test_products_stay_small_for_a_large_matrix():
     assert np.isnan(lost.high).all() and (lost.top_id == np.iinfo(np.int64).max).all()
 
 
+def test_few_vectors_are_held_against_a_tile():
+    batch = pa.record_batch([pa.array(np.zeros(1 << 20))], ["x"])
+    assert max(t.nbytes for t in tiles.buffered(iter([batch] * 12), tiles.BUFFER_BYTES)) <= 24 << 20
+
+
 def _vectors(spark, sf_dir):
     pdf = src.unembed(spark, sf_dir).toPandas().sort_values("token_id")
     return np.stack(pdf["u"].to_list()).astype(float)
