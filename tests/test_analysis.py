@@ -75,6 +75,29 @@ def test_bootstrap_interval(spark):
     assert np.isclose(got[1]["y_lower"] - got[0]["y_lower"], 1.0)
 
 
+def test_bootstrap_draws_an_item_once_for_all_keys(monkeypatch):
+    drawn, draw = [], stats.poisson_weights
+    monkeypatch.setattr(stats, "poisson_weights", lambda item, each, seed: drawn.extend(item) or draw(item, each, seed))
+    rng = np.random.default_rng(0)
+    items, codes = np.repeat(rng.permutation(150) - 9, 12), np.tile(np.arange(12), 150)
+    # A key may hold an item twice, or not at all.
+    items, codes = np.append(items[:-1], items[0]), np.append(codes[:-1], codes[0])
+    values = rng.normal(size=len(items))
+    got = stats.resampled_sums(items, codes, values, 12, 40, 3)
+    assert sorted(drawn) == sorted(set(items))
+    for key in range(12):
+        w = draw(items[codes == key], np.arange(40), 3)
+        assert np.allclose(got[key], [w.sum(axis=0), values[codes == key] @ w])
+
+
+def test_bootstrap_with_null_groups(spark):
+    rows = [(None if i % 2 else "g", i % 3 or None, i, float(i % 7)) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, layer int, item_no bigint, v double")
+    got = {(r["g"], r["layer"]) for r in stats.ci_bootstrap(
+        df, ["g"], "layer", "v", resamples=50).collect()}
+    assert got == {("g", 1), ("g", 2)}
+
+
 def _peak_mb(run):
     tracemalloc.start()
     try:
