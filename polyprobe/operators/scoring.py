@@ -20,6 +20,8 @@ from polyprobe.operators.sampling import matrices
 
 # Measured: the back ends cross between 64 and 512 tokens.
 ARROW_FROM_WIDTH = 512
+#: Logits and ids looked at together; an Arrow batch of wide rows holds many times that.
+BATCH_CELLS = 1 << 18
 SUMMARY = "masses array<double>, entropy double, argmax_id int"
 
 
@@ -53,38 +55,46 @@ def score_summary(
 
 
 def _matrix_summary(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Masses, entropy and argmax of the rows of an Arrow batch, a matrix of rows at a time."""
+    """Masses, entropy and argmax of the rows of an Arrow batch, about ``BATCH_CELLS`` logits and ids at a time."""
     for logits, id_sets in batches:
-        n = len(logits)
-        # Rows of the innermost list: which set and which row an id belongs to.
-        of_row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(id_sets), 0).to_numpy(zero_copy_only=False))
-        inner = id_sets.flatten()
-        of_set = np.repeat(np.arange(len(inner)), pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False))
-        ids = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        mass, known = np.zeros(len(inner)), np.ones(len(inner), bool)
-        entropy, top, seen = np.zeros(n), np.zeros(n, np.int32), np.zeros(n, bool)
-        for rows, x in matrices(logits):
-            place = np.full(n, -1)
-            place[rows] = np.arange(len(rows))
-            peak = x.max(axis=1, keepdims=True)
-            with np.errstate(invalid="ignore"):
-                shifted = x - peak
-            w = np.exp(shifted)
-            z = w.sum(axis=1)
-            shifted[w == 0] = 0  # impossible tokens add nothing
-            entropy[rows] = (np.log(z) - np.einsum("nv,nv->n", w, shifted) / z) / V.LN2
-            top[rows], seen[rows] = x.argmax(axis=1), True
-            own = np.flatnonzero(place[of_row[of_set]] >= 0)
-            row = place[of_row[of_set[own]]]
-            inside = (ids[own] >= 0) & (ids[own] < x.shape[1])
-            known[of_set[own[~inside]]] = False
-            part = np.bincount(of_set[own[inside]], w[row[inside], ids[own[inside]]], minlength=len(inner))
-            sets_here = place[of_row] >= 0
-            mass[sets_here] = part[sets_here] / z[place[of_row[sets_here]]]
-        upto = np.searchsorted(of_row, np.arange(n + 1))
-        masses = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(mass, mask=~known))
-        yield pa.StructArray.from_arrays(
-            [masses, pa.array(entropy), pa.array(top)], names=["masses", "entropy", "argmax_id"], mask=pa.array(~seen))
+        n, inner = len(logits), id_sets.flatten()
+        cells = len(logits.flatten()) + len(inner.flatten())
+        step = max(1, BATCH_CELLS * n // max(cells, 1))
+        yield pa.concat_arrays([
+            _summarised(logits.slice(at, step), id_sets.slice(at, step)) for at in range(0, max(n, 1), step)])
+
+
+def _summarised(logits: pa.Array, id_sets: pa.Array) -> pa.StructArray:
+    n = len(logits)
+    # Rows of the innermost list: which set and which row an id belongs to.
+    of_row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(id_sets), 0).to_numpy(zero_copy_only=False))
+    inner = id_sets.flatten()
+    of_set = np.repeat(np.arange(len(inner)), pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False))
+    ids = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    mass, known = np.zeros(len(inner)), np.ones(len(inner), bool)
+    entropy, top, seen = np.zeros(n), np.zeros(n, np.int32), np.zeros(n, bool)
+    for rows, x in matrices(logits):
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        peak = x.max(axis=1, keepdims=True)
+        with np.errstate(invalid="ignore"):
+            shifted = x - peak
+        w = np.exp(shifted)
+        z = w.sum(axis=1)
+        shifted[w == 0] = 0  # impossible tokens add nothing
+        entropy[rows] = (np.log(z) - np.einsum("nv,nv->n", w, shifted) / z) / V.LN2
+        top[rows], seen[rows] = x.argmax(axis=1), True
+        own = np.flatnonzero(place[of_row[of_set]] >= 0)
+        row = place[of_row[of_set[own]]]
+        inside = (ids[own] >= 0) & (ids[own] < x.shape[1])
+        known[of_set[own[~inside]]] = False
+        part = np.bincount(of_set[own[inside]], w[row[inside], ids[own[inside]]], minlength=len(inner))
+        sets_here = place[of_row] >= 0
+        mass[sets_here] = part[sets_here] / z[place[of_row[sets_here]]]
+    upto = np.searchsorted(of_row, np.arange(n + 1))
+    masses = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(mass, mask=~known))
+    return pa.StructArray.from_arrays(
+        [masses, pa.array(entropy), pa.array(top)], names=["masses", "entropy", "argmax_id"], mask=pa.array(~seen))
 
 
 def with_class_masses(

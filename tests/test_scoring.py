@@ -1,8 +1,10 @@
 """Distributions, choices and matching on hand-made rows."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,22 @@ def test_strip_prompt_drops_its_length_either_way(spark):
     df = spark.createDataFrame([("abcdef", "abc"), ("xxxdef", "abc")], "output string, prompt string")
     got = df.select(X.is_prompt_prefix(F.col("output"), F.col("prompt")), X.strip_prompt(F.col("output"), F.col("prompt")))
     assert [tuple(r) for r in got.collect()] == [(True, "def"), (False, "def")]
+
+
+def test_a_wide_batch_is_summarised_in_little_memory():
+    x = np.random.default_rng(0).normal(size=(4000, 1024))
+    logits = pa.ListArray.from_arrays(pa.array(np.arange(4001) * 1024, pa.int32()), pa.array(x.ravel()))
+    sets = pa.array([[[0, k % 1024], None if k % 3 else [5, 2000]] for k in range(4000)], pa.list_(pa.list_(pa.int32())))
+    tracemalloc.start()
+    got, = scoring._matrix_summary(iter([(logits, sets)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    p = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+    assert np.allclose(got.field("entropy").to_numpy(), -(p * np.log2(p)).sum(axis=1))
+    assert (got.field("argmax_id").to_numpy() == x.argmax(axis=1)).all()
+    first, second = zip(*got.field("masses").to_pylist())
+    assert np.allclose(first, p[:, 0] + p[np.arange(4000), np.arange(4000) % 1024])
+    assert [m is None for m in second] == [k % 3 == 0 for k in range(4000)]
+    empty, = scoring._matrix_summary(iter([(logits[:0], sets[:0])]))
+    assert len(empty) == 0
