@@ -12,7 +12,8 @@ depend on one n-gram type,
 so ``S1`` is paid by every word, ``b`` by every word with room for a k-gram, and
 a k-gram that occurs again adds ``Sk - b - S(k-1)``.  Each order is one count
 table, partitioned by hash, that is joined to the exploded n-grams of the
-documents and summed per document.  n-grams are 64-bit hashes, counted per batch
+documents and summed per document; the terms of its most frequent n-grams are
+shipped to the documents instead, a bounded number of them.  n-grams are 64-bit hashes, counted per batch
 and per document before they are moved.
 """
 
@@ -30,6 +31,10 @@ BACKOFF = 0.4
 UNSEEN = 0.5
 #: Size of the field that keeps n-grams which occur once from being shuffled: 32 MB.
 MAX_FIELD_BITS = 28
+#: Most frequent n-grams of an order whose terms are shipped to all tasks: 8 MB.
+MAX_FREQUENT = 1 << 19
+#: n-grams a task counts before it hands them on.
+COUNTED = 1 << 19
 
 
 def joined_hash(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -75,11 +80,50 @@ class Repeated:
         return (self.field.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+class Frequent:
+    """Terms of the most frequent n-grams, ``limit`` at most: documents that hold them are scored where they lie.
+
+    All n-grams at or above a count that few enough reach; the other n-grams
+    meet their terms in a join, so the bound changes no result.
+    """
+
+    def __init__(self, terms: DataFrame, limit: int = MAX_FREQUENT):
+        spark = terms.sparkSession
+        level = F.floor(F.log2("c") * 8).cast("int")
+        room, least = limit, None
+        for found, n in terms.where("c > 1").groupBy(level.alias("level")).agg(F.count(F.lit(1))).orderBy(F.desc("level")).collect():
+            room -= n
+            if room < 0:
+                break
+            least = found
+        chosen = terms.where(F.lit(False) if least is None else level >= least).select("h", "term").toArrow()
+        h = chosen.column("h").to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        self.terms = spark.sparkContext.broadcast((h[by], chosen.column("term").to_numpy()[by]))
+
+    def split(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are among them, and the terms of those."""
+        h, term = self.terms.value
+        if not len(h):
+            return np.zeros(len(hashes), bool), term
+        at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+        inside = h[at] == hashes
+        return inside, term[at[inside]]
+
+
 def _counts(docs: DataFrame, order: int, lower: Repeated | None = None) -> DataFrame:
     """Corpus counts: (prefix, suffix, c); with ``lower`` only of k-grams both of whose parts may occur again."""
     schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.int64()), ("c", pa.int64())])
 
+    def counted(prefixes, suffixes):
+        prefix, suffix = np.concatenate(prefixes), np.concatenate(suffixes)
+        by = np.lexsort((suffix, prefix)) if order > 1 else np.argsort(prefix)
+        p, s = prefix[by], suffix[by]
+        starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
+        return batch_of(schema, prefix=signed(p[starts]), suffix=signed(s[starts]), c=np.diff(np.append(starts, len(p))))
+
     def run(batches):
+        prefixes, suffixes, held = [], [], 0
         for batch in batches:
             for part in slices(batch.column(1)):
                 found = words(part)
@@ -89,19 +133,26 @@ def _counts(docs: DataFrame, order: int, lower: Repeated | None = None) -> DataF
                     prefix, suffix = prefix[known], suffix[known]
                 if not len(prefix):
                     continue
-                by = np.lexsort((suffix, prefix)) if order > 1 else np.argsort(prefix)
-                p, s = prefix[by], suffix[by]
-                starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
-                yield batch_of(schema, prefix=signed(p[starts]), suffix=signed(s[starts]),
-                               c=np.diff(np.append(starts, len(p))))
+                prefixes.append(prefix)
+                suffixes.append(suffix)
+                held += len(prefix)
+                if held >= COUNTED:
+                    yield counted(prefixes, suffixes)
+                    prefixes, suffixes, held = [], [], 0
+        if held:
+            yield counted(prefixes, suffixes)
 
     return docs.mapInArrow(run, "prefix bigint, suffix bigint, c bigint") \
         .groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
 
 
-def _per_document(docs: DataFrame, order: int, wanted: Repeated | None = None) -> DataFrame:
-    """Distinct k-grams of each document: (h, doc_id, n); with ``wanted`` only of those that may occur again."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+def _per_document(docs: DataFrame, order: int, frequent: Frequent, wanted: Repeated | None = None) -> DataFrame:
+    """Distinct k-grams of each document: (h, doc_id, n, part); with ``wanted`` only of those that may occur again.
+
+    Frequent ones are summed up here: one row per document with their number
+    and the sum ``part`` of their terms, under a hash that stands for no n-gram.
+    """
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("part", pa.float64())])
 
     def run(batches):
         for batch in batches:
@@ -113,14 +164,22 @@ def _per_document(docs: DataFrame, order: int, wanted: Repeated | None = None) -
                 if wanted is not None:
                     known = wanted.holds(gram)
                     gram, row = gram[known], row[known]
+                inside, terms = frequent.split(gram)
+                size = part.last - part.first
+                n = np.bincount(row[inside], minlength=size)
+                sums = np.bincount(row[inside], terms, minlength=size)
+                some = np.flatnonzero(n)
+                yield batch_of(schema, h=signed(mixed(part.first + some)), doc_id=ids.take(pa.array(part.first + some)),
+                               n=n[some], part=sums[some])
+                gram, row = gram[~inside], row[~inside]
                 by = np.lexsort((gram, row))
                 g, r = gram[by], row[by]
                 starts = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool),
                                                         (g[1:] != g[:-1]) | (r[1:] != r[:-1])]))
                 yield batch_of(schema, h=signed(g[starts]), doc_id=ids.take(pa.array(part.first + r[starts])),
-                               n=np.diff(np.append(starts, len(g))))
+                               n=np.diff(np.append(starts, len(g))), part=pa.nulls(len(starts), pa.float64()))
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, n int")
+    return docs.mapInArrow(run, "h bigint, doc_id bigint, n int, part double")
 
 
 def _with_hash(grams: DataFrame) -> DataFrame:
@@ -158,7 +217,7 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
             release(spark)
             grams = counts.select(F.col("prefix").alias("h"), "c",
                                   F.log(F.greatest(F.col("c") - 1, F.lit(UNSEEN)) / total).alias("s"))
-            terms = grams.select("h", F.col("s").alias("term"))
+            terms = grams.select("h", "c", F.col("s").alias("term"))
             repeated = Repeated(grams.where("c > 1"))
         else:
             again = stored(counts.where("c > 1"), "ngrams")
@@ -171,14 +230,17 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
                            "scores")
             del counts, again, known
             release(spark)
-            terms = grams.select("h", (F.col("s") - log_b - F.col("below")).alias("term"))
+            terms = grams.select("h", "c", (F.col("s") - log_b - F.col("below")).alias("term"))
             repeated = Repeated(grams)
         lower = grams
         # Sorted on both sides: neither is held in memory, and a common n-gram's rows can be split.
-        per_doc = _per_document(rows, k, repeated if k > 1 else None).join(terms.hint("merge"), "h") \
-            .groupBy("doc_id").agg(F.sum(F.col("n") * F.col("term")).alias("part"), F.sum("n").alias("n"))
+        frequent = Frequent(terms)
+        found = _per_document(rows, k, frequent, repeated if k > 1 else None).join(
+            terms.drop("c").hint("merge"), "h", "left")
+        per_doc = found.groupBy("doc_id").agg(
+            F.sum(F.coalesce("part", F.col("n") * F.col("term"))).alias("part"), F.sum("n").alias("n"))
         sums.append(stored(per_doc.select("doc_id", "part", F.lit(k).alias("k"), "n"), f"sums{k}"))
-        del per_doc
+        del per_doc, found
         release(spark)
     every = sums[0]
     for more in sums[1:]:

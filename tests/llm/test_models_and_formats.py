@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as driver
-from polyprobe.llm import decontamination, extraction, packing, pii
+from polyprobe.llm import decontamination, extraction, lm_scoring, packing, pii
 from polyprobe.llm.common import table
 from polyprobe.llm.queries import ORACLE_SQL, QUERIES
 
@@ -281,3 +281,19 @@ def test_fillers_map_as_a_function_and_a_conflict_drops_its_windows_only(spark):
     texts = [sums.format(5, 5), sums.format(3, 4), noun.format("Hund", "Vogel", "Hund")]
     got = _leaked(spark, texts, items)
     assert {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)} <= got and {i for d, i in got if d == 2} == {2}
+
+
+@pytest.mark.parametrize("limit", [0, 3, 1 << 19])
+def test_scores_do_not_depend_on_how_many_terms_are_shipped(spark, monkeypatch, limit):
+    texts = ["a b c a b c d", "a b c e", "", None, "f g a b c", "z"] * 2 + ["q r a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tables = []
+    frequent = lm_scoring.Frequent
+    monkeypatch.setattr(lm_scoring, "Frequent", lambda terms: tables.append(frequent(terms, limit)) or tables[-1])
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.score(docs).collect()}
+    shipped = [len(t.terms.value[0]) for t in tables]
+    assert len(shipped) == 3 and max(shipped) <= limit and (limit < 4 or all(shipped))
+    db = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    for doc_id, n_words, score in db.sql(ORACLE_SQL["op1_lm_scoring"]).fetchall():
+        assert got[doc_id][0] == n_words and abs(got[doc_id][1] - score) < 1e-3
