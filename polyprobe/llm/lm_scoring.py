@@ -1,20 +1,21 @@
-"""Stupid-backoff scores of documents, computed with joins.
+"""Stupid-backoff scores of documents; counts of n-grams come back to the documents that hold them.
 
 Counts come from the whole corpus.  An occurrence does not vouch for itself: its
 own count is taken off everywhere, so an n-gram that occurs once backs off.
-With ``b = log(0.4)`` the log score of a word telescopes into terms that each
-depend on one n-gram type,
+With ``b = log(0.4)``
 
-    S1(w)      = log(max(c(w) - 1, 1/2) / N)
+    S1(w)        = log(max(c(w) - 1, 1/2) / N)
     Sk(prefix w) = log((c(prefix w) - 1) / (c(prefix) - 1))   if the k-gram occurs again
-                 = b + S(k-1)(suffix w)                       otherwise
-
-so ``S1`` is paid by every word, ``b`` by every word with room for a k-gram, and
-a k-gram that occurs again adds ``Sk - b - S(k-1)``.  Each order is one count
-table, partitioned by hash, that is joined to the exploded n-grams of the
-documents and summed per document; the terms of its most frequent n-grams are
-shipped to the documents instead, a bounded number of them.  n-grams are 64-bit hashes, counted per batch
-and per document before they are moved.
+                   = b + S(k-1)(suffix w)                       otherwise
+
+Documents are dealt into blocks of bounded size by a hash of their content, so
+a block is the same whenever it is read.  Order by order a block sends its
+distinct n-grams, with how often it holds each, to buckets of hashes.  A bucket
+adds them up and answers every block in the order it was asked, so an answer
+is a list of counts and needs no keys.  Only k-grams both of whose (k - 1)-grams occur again are
+sent.  Counts of the most frequent n-grams are shipped to all tasks instead, a
+bounded number of them.  n-grams are 64-bit hashes; blocks and buckets grow in
+number, not in size, with the corpus.
 """
 
 from __future__ import annotations
@@ -25,16 +26,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from polyprobe.llm.common import batch_of, mixed, release, signed, slices, stored, words
+from polyprobe.llm.common import mixed, release, signed, slices, stored, words
 
 BACKOFF = 0.4
 UNSEEN = 0.5
-#: Size of the field that keeps n-grams which occur once from being shuffled: 32 MB.
-MAX_FIELD_BITS = 28
-#: Most frequent n-grams of an order whose terms are shipped to all tasks: 8 MB.
+#: Bytes of text in a block, and of the corpus for each bucket; small corpora have so many of them.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+MIN_BLOCKS, MIN_BUCKETS = 128, 64
+#: Most frequent n-grams of an order whose counts are shipped to all tasks: 8 MB.
 MAX_FREQUENT = 1 << 19
-#: n-grams a task counts before it hands them on.
-COUNTED = 1 << 19
+#: Lower ends of the levels by which frequent n-grams are chosen, eight for each doubling.
+LEVELS = np.unique(np.ceil(2.0 ** (np.arange(8, 8 * 62) / 8)).astype(np.int64))
+
+_LONGS, _INTS = (pa.list_(pa.field("element", t)) for t in (pa.int64(), pa.int32()))
+_SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("h", _LONGS), ("times", _INTS)])
+SENT_TYPE = "block bigint, bucket bigint, h array<bigint>, times array<int>"
+_COUNTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("c", _LONGS), ("h", _LONGS), ("again", _LONGS),
+                      ("total", pa.int64())])
+COUNTED_TYPE = "block bigint, bucket bigint, c array<bigint>, h array<bigint>, again array<bigint>, total bigint"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+SCORED_TYPE = "doc_id bigint, n_words bigint, log_score double"
 
 
 def joined_hash(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -42,157 +53,182 @@ def joined_hash(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mixed(mixed(prefix) + np.uint64(3) * suffix)
 
 
-def _grams(hashes: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """k-grams of all rows of a slice: prefix, suffix (both the word itself for order 1), and the row."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    prefix = suffix = gram = hashes
-    for k in range(2, order + 1):
-        inside = row[:-1] == row[1:] if k == 2 else np.ones(0, bool)
-        if k > 2:
-            inside = row[: len(gram)][:-1] == row[k - 1:]
-        prefix, suffix = gram[:-1], gram[1:]
-        gram = joined_hash(prefix, suffix)
-        if k == order:
-            return prefix[inside], suffix[inside], row[: len(gram)][inside]
-    return prefix, suffix, row
-
+def _flat(lists: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Values of all lists of a column."""
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(kind)
 
-class Repeated:
-    """Bit field over hashes of the k-grams that occur again: never false for one of them, rarely true for another.
-
-    8 to 16 bits for each, 2**``MAX_FIELD_BITS`` at most whatever the corpus;
-    a field that is too small lets more through and changes no result.
-    """
 
-    def __init__(self, again: DataFrame):
-        spark = again.sparkSession
-        self.width = min(MAX_FIELD_BITS, max(6, (8 * again.count()).bit_length()))
-        place = F.shiftrightunsigned("h", 64 - self.width)
-        words = again.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
-        rows = words.toArrow()
-        field = np.zeros(1 << (self.width - 6), np.uint64)
-        field[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-        self.field = spark.sparkContext.broadcast(field)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - self.width)
-        return (self.field.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before."""
+    return np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]])
 
 
 class Frequent:
-    """Terms of the most frequent n-grams, ``limit`` at most: documents that hold them are scored where they lie.
+    """Counts of the most frequent n-grams, ``limit`` at most: documents that hold them need no answer from a bucket.
 
-    All n-grams at or above a count that few enough reach; the other n-grams
-    meet their terms in a join, so the bound changes no result.
+    All n-grams that occur ``least`` times or more, the smallest such level that
+    few enough reach (null: none); the counts of the others come from the
+    buckets, so the bound changes no result.
     """
 
     def __init__(self, terms: DataFrame, limit: int = MAX_FREQUENT):
         spark = terms.sparkSession
-        level = F.floor(F.log2("c") * 8).cast("int")
+
+        def levels(batches):
+            for batch in batches:
+                level = np.searchsorted(LEVELS, _flat(pa.chunked_array([batch.column(1)]), np.int64), "right")
+                n = np.bincount(level, minlength=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["level", "n"])
+
+        found = terms.mapInArrow(levels, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n"))
         room, least = limit, None
-        for found, n in terms.where("c > 1").groupBy(level.alias("level")).agg(F.count(F.lit(1))).orderBy(F.desc("level")).collect():
+        for level, n in found.orderBy(F.desc("level")).collect():
             room -= n
             if room < 0:
                 break
-            least = found
-        chosen = terms.where(F.lit(False) if least is None else level >= least).select("h", "term").toArrow()
-        h = chosen.column("h").to_numpy().view(np.uint64)
-        by = np.argsort(h)
-        self.terms = spark.sparkContext.broadcast((h[by], chosen.column("term").to_numpy()[by]))
+            least = int(LEVELS[level - 1])
+        self.least = least
+
+        def chosen(batches):
+            for batch in batches:
+                h, c = (_flat(pa.chunked_array([x]), np.int64) for x in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], names=["h", "c"])
+
+        h = c = np.zeros(0, np.int64)
+        if least is not None:
+            rows = terms.mapInArrow(chosen, "h bigint, c bigint").toArrow()
+            h, c = (rows.column(name).to_numpy() for name in ("h", "c"))
+        by = np.argsort(h.view(np.uint64))
+        self.terms = spark.sparkContext.broadcast((h.view(np.uint64)[by], c[by]))
 
     def split(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are among them, and the terms of those."""
-        h, term = self.terms.value
+        """Which of the hashes are among them, and the counts of those."""
+        h, c = self.terms.value
         if not len(h):
-            return np.zeros(len(hashes), bool), term
+            return np.zeros(len(hashes), bool), c
         at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
         inside = h[at] == hashes
-        return inside, term[at[inside]]
-
-
-def _counts(docs: DataFrame, order: int, lower: Repeated | None = None) -> DataFrame:
-    """Corpus counts: (prefix, suffix, c); with ``lower`` only of k-grams both of whose parts may occur again."""
-    schema = pa.schema([("prefix", pa.int64()), ("suffix", pa.int64()), ("c", pa.int64())])
-
-    def counted(prefixes, suffixes):
-        prefix, suffix = np.concatenate(prefixes), np.concatenate(suffixes)
-        by = np.lexsort((suffix, prefix)) if order > 1 else np.argsort(prefix)
-        p, s = prefix[by], suffix[by]
-        starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
-        return batch_of(schema, prefix=signed(p[starts]), suffix=signed(s[starts]), c=np.diff(np.append(starts, len(p))))
-
-    def run(batches):
-        prefixes, suffixes, held = [], [], 0
-        for batch in batches:
-            for part in slices(batch.column(1)):
-                found = words(part)
-                prefix, suffix, _ = _grams(found.hash, found.first, order)
-                if lower is not None:
-                    known = lower.holds(prefix) & lower.holds(suffix)
-                    prefix, suffix = prefix[known], suffix[known]
-                if not len(prefix):
-                    continue
-                prefixes.append(prefix)
-                suffixes.append(suffix)
-                held += len(prefix)
-                if held >= COUNTED:
-                    yield counted(prefixes, suffixes)
-                    prefixes, suffixes, held = [], [], 0
-        if held:
-            yield counted(prefixes, suffixes)
-
-    return docs.mapInArrow(run, "prefix bigint, suffix bigint, c bigint") \
-        .groupBy("prefix", "suffix").agg(F.sum("c").alias("c"))
-
-
-def _per_document(docs: DataFrame, order: int, frequent: Frequent, wanted: Repeated | None = None) -> DataFrame:
-    """Distinct k-grams of each document: (h, doc_id, n, part); with ``wanted`` only of those that may occur again.
-
-    Frequent ones are summed up here: one row per document with their number
-    and the sum ``part`` of their terms, under a hash that stands for no n-gram.
+        return inside, c[at[inside]]
+
+
+class _Block:
+    """Words of a block's documents, and the counts of their n-grams as far as they are known."""
+
+    def __init__(self, docs: pa.Table):
+        found = [words(part) for part in slices(docs.column("text").cast(pa.large_string()).combine_chunks())]
+        self.gram = np.concatenate([np.zeros(0, np.uint64), *(x.hash for x in found)])
+        self.n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.first) for x in found)])
+        self.row = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        self.order = 1
+        self.asked = np.ones(len(self.gram), bool)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams to ask for, ascending, how often each occurs, and the place among them of each occurrence."""
+        grams = self.gram[self.asked]
+        by = np.argsort(grams)
+        ordered = grams[by]
+        new = _runs(ordered)
+        starts = np.flatnonzero(new)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.cumsum(new) - 1
+        return ordered[starts], np.diff(np.append(starts, len(by))), place
+
+    def counts(self, answers: np.ndarray, frequent: Frequent) -> np.ndarray:
+        """Corpus count of the n-gram that starts at each word, 0 for those not asked for."""
+        grams, _, place = self.distinct()
+        known, shipped = frequent.split(grams)
+        if len(grams) - len(shipped) != len(answers):
+            raise ValueError(f"{len(answers)} counts for {len(grams) - len(shipped)} n-grams: documents changed between two reads")
+        each = np.empty(len(grams), np.int64)
+        each[known], each[~known] = shipped, answers
+        counts = np.zeros(len(self.gram), np.int64)
+        counts[self.asked] = each[place]
+        return counts
+
+    def lengthen(self, counts: np.ndarray) -> None:
+        """Go on to the n-grams of one word more."""
+        again = counts > 1
+        self.order += 1
+        self.gram = joined_hash(self.gram[:-1], self.gram[1:])
+        self.asked = again[:-1] & again[1:] & (self.row[: len(self.gram)] == self.row[self.order - 1:])
+
+    def answered(self, met: pa.Table, frequent: list[Frequent]):
+        """Counts by order, going on to the next after each."""
+        met = met.sort_by([("k", "ascending"), ("bucket", "ascending")])
+        ends = np.searchsorted(met.column("k").to_numpy(), np.arange(len(frequent) + 1), "right")
+        for k, shipped in enumerate(frequent):
+            counts = self.counts(_flat(met.column("c").slice(ends[k], ends[k + 1] - ends[k]), np.int64), shipped)
+            yield counts
+            self.lengthen(counts)
+
+
+def _sent(docs: DataFrame, met: DataFrame | None, frequent: list[Frequent], n_buckets: int) -> DataFrame:
+    """A row per block and bucket: ``h``, the distinct n-grams of the next order, ascending, and ``times`` each occurs."""
+
+    def sent(own: pa.Table, answers: pa.Table | None) -> pa.Table:
+        block = _Block(own)
+        for _ in block.answered(answers, frequent) if frequent else ():
+            pass
+        grams, times, _ = block.distinct()
+        # Ascending with the hash, so the answers of the buckets follow each other.
+        bucket = (grams >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        starts = np.flatnonzero(_runs(bucket))
+        ends = pa.array(np.append(starts, len(grams)), pa.int32())
+        return pa.Table.from_arrays([
+            pa.repeat(own.column("block")[0], len(starts)), pa.array(bucket[starts].astype(np.int64)),
+            pa.ListArray.from_arrays(ends, pa.array(signed(grams)), type=_LONGS),
+            pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)), type=_INTS)], schema=_SENT)
+
+    own = docs.groupBy("block")
+    if met is None:
+        return own.applyInArrow(lambda table: sent(table, None), SENT_TYPE)
+    return own.cogroup(met.groupBy("block")).applyInArrow(sent, SENT_TYPE)
+
+
+def _counted(sent: DataFrame) -> DataFrame:
+    """The answers: a row per block and bucket with the counts ``c`` of its n-grams, in their order.
+
+    And a row per bucket, its block null: the n-grams ``h`` that occur again,
+    their counts ``again``, and the ``total`` of all counts.
     """
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("part", pa.float64())])
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            for part in slices(batch.column(1)):
-                found = words(part)
-                prefix, suffix, row = _grams(found.hash, found.first, order)
-                gram = prefix if order == 1 else joined_hash(prefix, suffix)
-                if wanted is not None:
-                    known = wanted.holds(gram)
-                    gram, row = gram[known], row[known]
-                inside, terms = frequent.split(gram)
-                size = part.last - part.first
-                n = np.bincount(row[inside], minlength=size)
-                sums = np.bincount(row[inside], terms, minlength=size)
-                some = np.flatnonzero(n)
-                yield batch_of(schema, h=signed(mixed(part.first + some)), doc_id=ids.take(pa.array(part.first + some)),
-                               n=n[some], part=sums[some])
-                gram, row = gram[~inside], row[~inside]
-                by = np.lexsort((gram, row))
-                g, r = gram[by], row[by]
-                starts = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool),
-                                                        (g[1:] != g[:-1]) | (r[1:] != r[:-1])]))
-                yield batch_of(schema, h=signed(g[starts]), doc_id=ids.take(pa.array(part.first + r[starts])),
-                               n=np.diff(np.append(starts, len(g))), part=pa.nulls(len(starts), pa.float64()))
-
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, n int, part double")
-
-
-def _with_hash(grams: DataFrame) -> DataFrame:
-    """Add the k-gram's own hash ``h``."""
-    names = grams.columns
-
-    def run(batches):
-        for batch in batches:
-            p, s = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(joined_hash(p, s)))],
-                                             names=[*names, "h"])
-
-    return grams.mapInArrow(run, grams.schema.simpleString()[len("struct<"):-1].replace(":", " ") + ", h bigint")
+
+    def added(asked: pa.Table) -> pa.Table:
+        lists = asked.column("h").combine_chunks()
+        grams, times = _flat(asked.column("h"), np.uint64), _flat(asked.column("times"), np.int32)
+        by = np.argsort(grams)
+        ordered = grams[by]
+        starts = np.flatnonzero(_runs(ordered))
+        c = np.add.reduceat(times[by], starts, dtype=np.int64)
+        each = np.empty(len(by), np.int64)
+        each[by] = np.repeat(c, np.diff(np.append(starts, len(by))))
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        n, again = len(asked), c > 1
+        none = pa.nulls(n, _LONGS)
+        answers = [asked.column("block").combine_chunks(), asked.column("bucket").combine_chunks(),
+                   pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(each), type=_LONGS), none, none,
+                   pa.nulls(n, pa.int64())]
+        own = [pa.nulls(1, pa.int64()), pa.array([asked.column("bucket")[0].as_py()]), pa.nulls(1, _LONGS),
+               pa.array([signed(ordered[starts[again]])], _LONGS), pa.array([c[again]], _LONGS), pa.array([int(c.sum())])]
+        return pa.concat_tables([pa.Table.from_arrays(x, schema=_COUNTED) for x in (answers, own)])
+
+    return sent.groupBy("bucket").applyInArrow(added, COUNTED_TYPE)
+
+
+def _scores(block: _Block, counts: list[np.ndarray], total: int) -> np.ndarray:
+    """Sum over the words of each row of the log of their scores."""
+    log_b = math.log(BACKOFF)
+    n, row = len(block.row), block.row
+    # Of the longest n-gram so far that ends at each word.
+    score = np.log(np.maximum(counts[0] - 1, UNSEEN) / total)
+    for k, c in enumerate(counts[1:], 2):
+        # The n-gram from word i on ends at word i + k - 1, and so does its suffix, whose score stands there.
+        inside = row[: len(c)] == row[k - 1:]
+        again = c > 1
+        later = score[k - 1:]
+        ratio = np.log((c[again] - 1) / (counts[k - 2][: len(c)][again] - 1))
+        later[inside] += log_b
+        later[again] = ratio
+    return np.bincount(row, score, minlength=len(block.n_words)) if n else np.zeros(len(block.n_words))
 
 
 def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,72 +237,34 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     A null, empty or blank text has no words and score 0.  Rows that repeat an
     id are one document; rows with a null id are counted in the corpus and
     summed under null; other columns are ignored; an empty table gives an
-    empty result.
+    empty result.  Rows equal in id and text share a block.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    log_b = math.log(BACKOFF)
-    sums = []
-    lower = None  # scores of the order below: h, c, s
-    repeated = None  # its n-grams that occur again
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks, n_buckets = max(MIN_BLOCKS, size // BLOCK_BYTES), max(MIN_BUCKETS, size // BUCKET_BYTES)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    met, frequent, total = None, [], 1
     for k in range(1, order + 1):
-        counts = _counts(rows, k, repeated)
-        if k == 1:
-            counts = stored(counts, "unigrams")
-            total = counts.agg(F.sum("c")).first()[0] or 1
-            release(spark)
-            grams = counts.select(F.col("prefix").alias("h"), "c",
-                                  F.log(F.greatest(F.col("c") - 1, F.lit(UNSEEN)) / total).alias("s"))
-            terms = grams.select("h", "c", F.col("s").alias("term"))
-            repeated = Repeated(grams.where("c > 1"))
-        else:
-            again = stored(counts.where("c > 1"), "ngrams")
-            release(spark)
-            again = _with_hash(again)
-            # What occurs again has a prefix and a suffix that do too.
-            known = again.join(lower.select(F.col("h").alias("prefix"), F.col("c").alias("cp")), "prefix") \
-                .join(lower.select(F.col("h").alias("suffix"), F.col("s").alias("below")), "suffix")
-            grams = stored(known.select("h", "c", F.log((F.col("c") - 1) / (F.col("cp") - 1)).alias("s"), "below"),
-                           "scores")
-            del counts, again, known
-            release(spark)
-            terms = grams.select("h", "c", (F.col("s") - log_b - F.col("below")).alias("term"))
-            repeated = Repeated(grams)
-        lower = grams
-        # Sorted on both sides: neither is held in memory, and a common n-gram's rows can be split.
-        frequent = Frequent(terms)
-        found = _per_document(rows, k, frequent, repeated if k > 1 else None).join(
-            terms.drop("c").hint("merge"), "h", "left")
-        per_doc = found.groupBy("doc_id").agg(
-            F.sum(F.coalesce("part", F.col("n") * F.col("term"))).alias("part"), F.sum("n").alias("n"))
-        sums.append(stored(per_doc.select("doc_id", "part", F.lit(k).alias("k"), "n"), f"sums{k}"))
-        del per_doc, found
+        counted = stored(_counted(_sent(rows, met, frequent, n_buckets)), f"counts{k}")
         release(spark)
-    every = sums[0]
-    for more in sums[1:]:
-        every = every.unionByName(more)
-    per_doc = every.groupBy("doc_id").agg(F.sum("part").alias("part"),
-                                          F.sum(F.when(F.col("k") == 1, F.col("n"))).alias("n_words"))
-    # Words with room for a k-gram, per row of the table: all but the first k - 1.
-    room = rows.select("doc_id", "text").mapInArrow(_room(order), "doc_id bigint, room bigint") \
-        .groupBy("doc_id").agg(F.sum("room").alias("room"))
-    return room.join(per_doc.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left") \
-        .select("doc_id", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"),
-                (F.coalesce("part", F.lit(0.0)) + F.col("room") * log_b).alias("log_score"))
-
-
-def _room(order: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("room", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            room = [np.zeros(0, np.int64)]
-            for part in slices(batch.column(1)):
-                n = np.diff(words(part).first)
-                room.append(sum(np.maximum(n - k, 0) for k in range(1, order)) if order > 1 else 0 * n)
-            yield batch_of(schema, doc_id=batch.column(0), room=np.concatenate(room))
-
-    return run
+        if k == 1:
+            total = counted.agg(F.sum("total")).first()[0] or 1
+        shipped = Frequent(counted.where("block is null").select("h", "again"))
+        answers = F.col("c") if shipped.least is None else F.filter("c", lambda c: c < shipped.least)
+        answers = counted.where("block is not null").select("block", F.lit(k).alias("k"), "bucket", answers.alias("c"))
+        met = answers if met is None else met.unionByName(answers)
+        frequent = [*frequent, shipped]
+    known = frequent
+
+    def scored(own: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _Block(own)
+        counts = list(block.answered(answers, known))
+        return pa.Table.from_arrays([own.column("doc_id"), pa.array(block.n_words), pa.array(_scores(block, counts, total))],
+                                    schema=_SCORED)
+
+    return rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(scored, SCORED_TYPE) \
+        .groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
 
 
 #: The same for order 3 and distinct ids, on DuckDB.

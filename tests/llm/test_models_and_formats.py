@@ -2,6 +2,7 @@
 
 import datetime
 import html
+import random
 import re
 import zlib
 
@@ -297,3 +298,37 @@ def test_scores_do_not_depend_on_how_many_terms_are_shipped(spark, monkeypatch,
     documents = docs.toPandas()  # noqa: F841
     for doc_id, n_words, score in db.sql(ORACLE_SQL["op1_lm_scoring"]).fetchall():
         assert got[doc_id][0] == n_words and abs(got[doc_id][1] - score) < 1e-3
+
+
+def _lm_equals_sql(docs):
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.score(docs).collect()}
+    db = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    want = db.sql(ORACLE_SQL["op1_lm_scoring"]).fetchall()
+    assert len(got) == len(want)
+    for doc_id, n_words, score in want:
+        assert got[doc_id][0] == n_words and abs(got[doc_id][1] - score) < 1e-3
+
+
+def test_language_model_stores_a_row_per_block_and_bucket_not_per_ngram(spark, monkeypatch):
+    blocks, buckets = 4, 3
+    monkeypatch.setattr(lm_scoring, "MIN_BLOCKS", blocks, raising=False)
+    monkeypatch.setattr(lm_scoring, "MIN_BUCKETS", buckets, raising=False)
+    tables = []
+    keep = lm_scoring.stored
+    monkeypatch.setattr(lm_scoring, "stored", lambda df, name: tables.append(keep(df, name)) or tables[-1])
+    draw = random.Random(3)
+    texts = [" ".join(str(draw.randrange(400)) for _ in range(100)) for _ in range(60)]
+    _lm_equals_sql(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert tables and all(t.count() <= blocks * buckets + buckets for t in tables)
+
+
+@pytest.mark.parametrize("blocks, buckets", [(1, 1), (1, 500), (500, 1)])
+def test_language_model_scores_do_not_depend_on_blocks_and_buckets(spark, monkeypatch, blocks, buckets):
+    monkeypatch.setattr(lm_scoring, "MIN_BLOCKS", blocks)
+    monkeypatch.setattr(lm_scoring, "MIN_BUCKETS", buckets)
+    frequent = lm_scoring.Frequent
+    monkeypatch.setattr(lm_scoring, "Frequent", lambda terms: frequent(terms, 5))
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices("abcdefgh", k=draw.randrange(40))) for _ in range(40)] + ["", None, " \t", "z", "a b"]
+    _lm_equals_sql(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
