@@ -33,14 +33,16 @@ UNSEEN = 0.5
 #: Bytes of text in a block, and of the corpus for each bucket; small corpora have so many of them.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 MIN_BLOCKS, MIN_BUCKETS = 128, 64
+#: What a row takes beside its text.
+ROW_BYTES = 16
 #: Most frequent n-grams of an order whose counts are shipped to all tasks: 8 MB.
 MAX_FREQUENT = 1 << 19
 #: Lower ends of the levels by which frequent n-grams are chosen, eight for each doubling.
 LEVELS = np.unique(np.ceil(2.0 ** (np.arange(8, 8 * 62) / 8)).astype(np.int64))
 
-_LONGS, _INTS = (pa.list_(pa.field("element", t)) for t in (pa.int64(), pa.int32()))
-_SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("h", _LONGS), ("times", _INTS)])
-SENT_TYPE = "block bigint, bucket bigint, h array<bigint>, times array<int>"
+_LONGS = pa.list_(pa.field("element", pa.int64()))
+_SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("h", _LONGS), ("times", _LONGS)])
+SENT_TYPE = "block bigint, bucket bigint, h array<bigint>, times array<bigint>"
 _COUNTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("c", _LONGS), ("h", _LONGS), ("again", _LONGS),
                       ("total", pa.int64())])
 COUNTED_TYPE = "block bigint, bucket bigint, c array<bigint>, h array<bigint>, again array<bigint>, total bigint"
@@ -119,6 +121,7 @@ class _Block:
         self.gram = np.concatenate([np.zeros(0, np.uint64), *(x.hash for x in found)])
         self.n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.first) for x in found)])
         self.row = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        self.copies = docs.column("copies").to_numpy()
         self.order = 1
         self.asked = np.ones(len(self.gram), bool)
 
@@ -131,7 +134,11 @@ class _Block:
         starts = np.flatnonzero(new)
         place = np.empty(len(by), np.int64)
         place[by] = np.cumsum(new) - 1
-        return ordered[starts], np.diff(np.append(starts, len(by))), place
+        times = np.diff(np.append(starts, len(by)))
+        if (self.copies > 1).any():
+            of = self.copies[self.row[: len(self.gram)]][self.asked][by]
+            times = np.add.reduceat(of, starts) if len(of) else times
+        return ordered[starts], times, place
 
     def counts(self, answers: np.ndarray, frequent: Frequent) -> np.ndarray:
         """Corpus count of the n-gram that starts at each word, 0 for those not asked for."""
@@ -177,7 +184,7 @@ def _sent(docs: DataFrame, met: DataFrame | None, frequent: list[Frequent], n_bu
         return pa.Table.from_arrays([
             pa.repeat(own.column("block")[0], len(starts)), pa.array(bucket[starts].astype(np.int64)),
             pa.ListArray.from_arrays(ends, pa.array(signed(grams)), type=_LONGS),
-            pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)), type=_INTS)], schema=_SENT)
+            pa.ListArray.from_arrays(ends, pa.array(times), type=_LONGS)], schema=_SENT)
 
     own = docs.groupBy("block")
     if met is None:
@@ -194,11 +201,11 @@ def _counted(sent: DataFrame) -> DataFrame:
 
     def added(asked: pa.Table) -> pa.Table:
         lists = asked.column("h").combine_chunks()
-        grams, times = _flat(asked.column("h"), np.uint64), _flat(asked.column("times"), np.int32)
+        grams, times = _flat(asked.column("h"), np.uint64), _flat(asked.column("times"), np.int64)
         by = np.argsort(grams)
         ordered = grams[by]
         starts = np.flatnonzero(_runs(ordered))
-        c = np.add.reduceat(times[by], starts, dtype=np.int64)
+        c = np.add.reduceat(times[by], starts)
         each = np.empty(len(by), np.int64)
         each[by] = np.repeat(c, np.diff(np.append(starts, len(by))))
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
@@ -231,19 +238,39 @@ def _scores(block: _Block, counts: list[np.ndarray], total: int) -> np.ndarray:
     return np.bincount(row, score, minlength=len(block.n_words)) if n else np.zeros(len(block.n_words))
 
 
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with ``block`` and ``copies``, and the bytes of all.
+
+    Equal rows fall into one block, so those that would fill it become one row;
+    ``copies`` says how many it stands for.
+    """
+    key = F.xxhash64("doc_id", "text")
+    sizes = rows.select(key.alias("key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("size")) \
+        .groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    full = (F.col("n") > 1) & (F.col("size") > BLOCK_BYTES)
+    size, many = sizes.agg(F.sum("size"), F.count_if(full)).first()
+    size = size or 0
+    each = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    if many:  # one for each BLOCK_BYTES of the corpus at most
+        chosen = F.broadcast(stored(sizes.where(full).select("key"), "copied"))
+        keyed = each.withColumn("key", key)
+        one = keyed.join(chosen, "key", "left_semi").groupBy("doc_id", "text").agg(F.sum("copies").alias("copies"))
+        each = keyed.join(chosen, "key", "left_anti").drop("key").unionByName(one)
+    return each.withColumn("block", F.pmod(key, F.lit(max(MIN_BLOCKS, size // BLOCK_BYTES)))), size
+
+
 def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words and log_score (sum over words of the natural log of the backoff score).
 
     A null, empty or blank text has no words and score 0.  Rows that repeat an
     id are one document; rows with a null id are counted in the corpus and
     summed under null; other columns are ignored; an empty table gives an
-    empty result.  Rows equal in id and text share a block.
+    empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks, n_buckets = max(MIN_BLOCKS, size // BLOCK_BYTES), max(MIN_BUCKETS, size // BUCKET_BYTES)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    rows, size = _dealt(rows)
+    n_buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
     met, frequent, total = None, [], 1
     for k in range(1, order + 1):
         counted = stored(_counted(_sent(rows, met, frequent, n_buckets)), f"counts{k}")
@@ -260,8 +287,8 @@ def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str
     def scored(own: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(own)
         counts = list(block.answered(answers, known))
-        return pa.Table.from_arrays([own.column("doc_id"), pa.array(block.n_words), pa.array(_scores(block, counts, total))],
-                                    schema=_SCORED)
+        return pa.Table.from_arrays([own.column("doc_id"), pa.array(block.n_words * block.copies),
+                                     pa.array(_scores(block, counts, total) * block.copies)], schema=_SCORED)
 
     return rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(scored, SCORED_TYPE) \
         .groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))

@@ -332,3 +332,14 @@ def test_language_model_scores_do_not_depend_on_blocks_and_buckets(spark, monkey
     draw = random.Random(4)
     texts = [" ".join(draw.choices("abcdefgh", k=draw.randrange(40))) for _ in range(40)] + ["", None, " \t", "z", "a b"]
     _lm_equals_sql(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+
+
+def test_language_model_keeps_copies_of_a_row_as_one(spark, monkeypatch):
+    rows = [(7, "a b c a b")] * 60 + [(None, "b c a")] * 50 + [(None, None)] * 40 + [(7, "a b"), (8, "b c a"), (9, "c")] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm_scoring.score(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 200)
+    dealt, _ = lm_scoring._dealt(docs)
+    assert sorted((r["doc_id"] or 0, r["copies"]) for r in dealt.collect()) == \
+        [(0, 40), (0, 50), (7, 1), (7, 1), (7, 60), (8, 1), (8, 1), (9, 1), (9, 1)]
+    assert {r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm_scoring.score(docs).collect()} == want
