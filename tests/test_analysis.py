@@ -123,6 +123,71 @@ def test_products_stay_small_for_a_large_matrix():
     assert np.isnan(lost.high).all() and (lost.top_id == np.iinfo(np.int64).max).all()
 
 
+def _ends(z, ids, u, cuts=()):
+    found = None
+    for part in np.split(np.arange(len(ids)), cuts):
+        found = readout._Ends.of(z, ids[part], u[part], found)
+    return found
+
+
+def test_ends_found_in_single_precision_have_double_precision(monkeypatch):
+    r = np.random.default_rng(5)
+    z, u = r.normal(size=(70, 24)), r.normal(size=(9_000, 24))
+    # Closer together than single precision can tell, in blocks far apart; the smaller id where they are equal.
+    for n, k in enumerate(r.integers(0, 9_000, 60)):
+        u[k] = 3 * z[n % 30] * (1 + 1e-9 * n)
+        u[(k + 4_500) % 9_000] = -u[k] * (1 + 1e-9)
+    u[8_500:8_520], z[60] = u[7:27], 0.0
+    ids = np.arange(9_000) * 3 - 70
+    x = z @ u.T
+    for sizes in ({}, {"SIEVE_TOKENS": 50, "SIEVE_BLOCKS": 7, "SIEVE_ROWS": 16, "SIEVE_BYTES": 4 * 50 * 16 * 2}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(tiles, name, value)
+        for cuts in ((), (1, 4_096, 8_499)):
+            found = _ends(z, ids, u, cuts)
+            assert found.n_tokens == 9_000 and (found.top_id == ids[x.argmax(axis=1)]).all()
+            assert np.allclose([found.low, found.high], [x.min(axis=1), x.max(axis=1)], rtol=1e-14)
+            assert np.allclose(found.total, x.sum(axis=1))
+
+
+def test_ends_of_values_that_single_precision_does_not_hold():
+    r = np.random.default_rng(6)
+    z, u, ids = r.normal(size=(40, 8)), r.normal(size=(5_000, 8)), np.arange(5_000)
+    for scale_z, scale_u in ((1e30, 1e30), (1e-30, 1e-30), (1e60, 1e-60), (1e-200, 1.0), (1.0, 1e200)):
+        x = (z * scale_z) @ (u * scale_u).T
+        found = _ends(z * scale_z, ids, u * scale_u, (2_048,))
+        assert (found.top_id == x.argmax(axis=1)).all()
+        assert np.allclose([found.low / x.min(axis=1), found.high / x.max(axis=1)], 1, rtol=1e-13)
+    z[3], u[4_000, 2], u[77, 1] = np.nan, np.inf, -np.inf
+    with np.errstate(all="ignore"):
+        x = z @ u.T
+        found = _ends(z, ids, u, (2_048,))
+    assert np.allclose([found.low, found.high], [x.min(axis=1), x.max(axis=1)], rtol=1e-13, equal_nan=True)
+    lost = np.isnan(x).any(axis=1)
+    assert lost[3] and not lost.all()
+    assert (found.top_id == np.where(lost, np.iinfo(np.int64).max, np.where(np.isnan(x), -np.inf, x).argmax(axis=1))).all()
+
+
+def test_few_products_of_the_ends_take_double_precision(monkeypatch):
+    r = np.random.default_rng(7)
+    z, u, sizes, top = r.normal(size=(500, 16)), r.normal(size=(40_000, 16)), [], readout._top
+    monkeypatch.setattr(readout, "_top", lambda x, ids: (sizes.append(x.size), top(x, ids))[1])
+    assert _peak_mb(lambda: _ends(z, np.arange(40_000), u)) < 16
+    assert 0 < sum(sizes) < 0.03 * 500 * 40_000
+
+
+def test_readout_without_entropy_gives_the_other_columns(spark, sf_dir):
+    latents = src.latents(spark, sf_dir, src.labelled(spark, sf_dir).select("doc_id", "lang", "item_no"), [1])
+    small = {"tile_bytes": 64 * 8 * 70, "buffer_bytes": 64 * 8 * 30}
+    whole, few = (
+        readout.readout_logits(latents, ["doc_id"], src.unembed(spark, sf_dir), src.NORM_WEIGHT, entropy=e, **small)
+        for e in (True, False))
+    assert few.columns == [c for c in whole.columns if c != "entropy"]
+    left, right = (f.drop("entropy").toPandas().sort_values("doc_id", ignore_index=True) for f in (whole, few))
+    assert len(left) and (left[["doc_id", "n_tokens", "top_id"]] == right[["doc_id", "n_tokens", "top_id"]]).all(axis=None)
+    assert np.allclose(left, right, rtol=1e-12)
+
+
 def test_few_vectors_are_held_against_a_tile():
     batch = pa.record_batch([pa.array(np.zeros(1 << 20))], ["x"])
     assert max(t.nbytes for t in tiles.buffered(iter([batch] * 12), tiles.BUFFER_BYTES)) <= 24 << 20
