@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from polyprobe.operators import positions, readout, representation as rep, sampling, stats, tiles
-from polyprobe.plans import lens as lp, representation as rp
+from polyprobe.plans import catalog, lens as lp, representation as rp
 from polyprobe.sources import driver_tables as src
 
 
@@ -188,6 +188,35 @@ def test_readout_without_entropy_gives_the_other_columns(spark, sf_dir):
     assert np.allclose(left, right, rtol=1e-12)
 
 
+def test_weights_of_logits_of_any_size(monkeypatch):
+    r = np.random.default_rng(8)
+    z, u, ids = r.normal(size=(300, 6)), r.normal(size=(700, 6)), np.arange(700)
+    plain, calls = readout._exp_steps, []
+    monkeypatch.setattr(readout, "_exp_steps", lambda x, *room: (calls.append(x.size), plain(x, *room)))
+    for scale, table in ((1e-6, 1), (1.0, 1), (20.0, 1), (1e3, 1), (1e12, 0)):
+        calls.clear()
+        x = (z * scale) @ u.T
+        peak = x.max(axis=1)
+        w = np.exp(x - peak[:, None])
+        found = readout._Logits.of(z * scale, ids, u)
+        assert sum(calls) == table * x.size
+        assert np.allclose([found.low, found.high], [x.min(axis=1), peak], rtol=1e-13) and (found.top_id == x.argmax(axis=1)).all()
+        assert np.allclose(found.total, x.sum(axis=1), atol=1e-9 * scale)
+        got = np.log(found.weight) - found.spread / found.weight
+        want = np.log(w.sum(axis=1)) - (w * (x - peak[:, None])).sum(axis=1) / w.sum(axis=1)
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+    split = readout._Logits.of(z, ids[400:], u[400:], readout._Logits.of(z, ids[:400], u[:400]))
+    whole = readout._Logits.of(z, ids, u)
+    assert split.n_tokens == 700 and all(np.allclose(a, b, rtol=1e-12) for a, b in zip(split[1:], whole[1:]))
+
+
+def test_table_of_exponentials_is_close_everywhere():
+    for x in (np.linspace(-64, 64, 1_000_001), np.linspace(-1e-3, 1e-3, 1_001)):
+        out, *room = np.empty((4, len(x)))
+        readout._exp_steps(x * readout._STEPS, out, *room)
+        assert np.abs(out / np.exp(x) - 1).max() < 1e-13
+
+
 def test_few_vectors_are_held_against_a_tile():
     batch = pa.record_batch([pa.array(np.zeros(1 << 20))], ["x"])
     assert max(t.nbytes for t in tiles.buffered(iter([batch] * 12), tiles.BUFFER_BYTES)) <= 24 << 20
@@ -260,6 +289,13 @@ def test_tiles_of_any_size_give_the_same_gram(spark):
             assert np.allclose(part.pivot(index="i", columns="j", values="v").to_numpy(), own.T @ own)
 
 
+def test_latents_are_dealt_to_many_tasks_before_the_readout(spark, sf_dir):
+    latents = catalog._readout(spark, sf_dir, entropy=False)
+    plan = latents._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "MapInArrow" in above and "REPARTITION_BY_NUM" in above[above.index("MapInArrow"):]
+
+
 def test_latents_do_not_move_for_the_readout(spark, sf_dir):
     """Whatever the size of the matrix, the readout adds no exchange to its latents."""
     latents = spark.range(50).select("id", F.lit([1.0] * 64).alias("vec"))
